@@ -44,7 +44,7 @@ def drop_stored(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, weigh: str | None = "text") -> DataFrame:
+def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]], schema, weigh: str | None = "text", step_bytes: int = STEP_BYTES) -> DataFrame:
     """``mapInArrow``: ``begin()`` gives each task's step, which gets batches of about STEP_BYTES of column ``weigh`` and returns columns by name."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
@@ -53,7 +53,7 @@ def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = begin()
         for batch in batches:
-            for part in slices(batch, weigh):
+            for part in slices(batch, weigh, step_bytes):
                 columns = step(part)
                 yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in out], schema=out)
 
@@ -70,7 +70,7 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def slices(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, weigh: str | None, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
     if weigh is None:
@@ -82,7 +82,7 @@ def slices(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + step_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -78,7 +78,7 @@ class StretchEncoder:
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
-        known, numbers, counts = self.known, [], []
+        known, pieces, counts = self.known, [], []
         for text in texts:
             if not text:
                 counts.append(0)
@@ -98,10 +98,10 @@ class StretchEncoder:
                 parts = [first, *[" " + x for x in rest]]
             else:
                 parts = [text]
-            numbers += [known[x] for x in parts]
+            pieces += parts
             counts.append(len(parts))
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
-        at = np.array(numbers, np.int64)
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
         bounds = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
