@@ -35,24 +35,39 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The least bits of a selector that each id fits."""
+    levels = np.unique(BITS)
+    return levels[np.searchsorted(np.array([(1 << int(b)) - 1 for b in levels], np.uint64), ids)].astype(np.uint8)
+
+
+_SMALL = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and each block's first word (one more than blocks)."""
     ids = ids.astype(np.uint64)
     n = len(ids)
-    width = np.zeros(n, np.uint8)
-    for bits in sorted(set(BITS[1:].tolist())):
-        width[ids >= np.uint64(1 << bits)] = np.uint8(min([b for b in BITS.tolist() if b > bits]))
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    width = _SMALL[ids.astype(np.int64)] if n and ids.max() < 1 << 16 else _widths(ids)
+    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.uint16)
     best = np.zeros(n, np.uint8)
+    # a word of fewer bits holds more ids, so where it fits all words of more bits do: the places that are left get fewer
+    at = np.arange(n)
     most, span = width, 1  # the widest of the next ``span`` ids
-    for s in range(15, 0, -1):
+    for s in range(15, 1, -1):
         count = int(COUNTS[s])
         while 2 * span <= count:
             most = np.concatenate((np.maximum(most[:-span], most[span:]), most[-span:]))[:n] if span < n else most
             span *= 2
-        rest = count - span
-        widest = np.concatenate((np.maximum(most[: n - rest], most[rest:]), most[n - rest :])) if 0 < rest < n else most
-        best[(widest <= BITS[s]) & (room >= count)] = s
+        at = at[(room[at] >= count) & (most[at] <= BITS[s])]
+        at = at[most[np.minimum(at + count - span, n - 1)] <= BITS[s]] if count > span else at
+        if not len(at):
+            break
+        best[at] = s
+    if len(at):
+        zeros = at[room[at] >= COUNTS[1]]
+        behind = np.concatenate(([0], np.cumsum(ids != 0)))
+        best[zeros[behind[zeros + COUNTS[1]] == behind[zeros]]] = 1
     at = np.arange(0, n, BLOCK)
     ends = np.minimum(at + BLOCK, n)
     found = []

@@ -10,6 +10,7 @@ token's string, are encoded whole.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Callable, Sequence
 
@@ -55,8 +56,28 @@ class StretchEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.int32)
+        self.uses = np.zeros(1 << 12, np.int64)
         self.filled = self.chars = 0
 
+    def _thin(self) -> None:
+        """Keep short stretches that came more than twice, unless they are half of all."""
+        uses = self.uses[: len(self.known)]
+        stay = np.flatnonzero(uses > 2)
+        old = list(self.known)
+        words = [old[k] for k in stay if len(old[k]) <= 64]
+        starts, lengths, ids = self.starts, self.lengths, self.ids
+        kept = np.array([k for k in stay if len(old[k]) <= 64], np.int64)
+        self.forget()
+        if 2 * len(words) > REMEMBERED:
+            return
+        for w in words:
+            self.known[w]
+        self.known.waiting = []
+        n, size = len(words), lengths[kept]
+        self.ids = ids[ragged(starts[kept], size)]
+        self.filled, self.chars = len(self.ids), sum(map(len, words))
+        self.starts, self.lengths, self.uses = np.cumsum(size) - size, size, np.zeros(n, np.int64)
+
     def _learn(self) -> None:
         new, self.known.waiting = self.known.waiting, []
         if not new:
@@ -68,6 +89,7 @@ class StretchEncoder:
         if n > len(self.starts):
             self.starts = np.resize(self.starts, 2 * n)
             self.lengths = np.resize(self.lengths, 2 * n)
+            self.uses = np.concatenate((self.uses, np.zeros(2 * n - len(self.uses), np.int64)))
         if self.filled + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (self.filled + total))
         self.lengths[first:n] = lengths
@@ -77,7 +99,17 @@ class StretchEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.forget()
+            self._thin()
+        # the many small lists hold no cycles, and the collector would go through them again and again
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         known, pieces, counts = self.known, [], []
         for text in texts:
             if not text:
@@ -102,6 +134,7 @@ class StretchEncoder:
             counts.append(len(parts))
         at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
+        self.uses[: len(known)] += np.bincount(at, minlength=len(known))
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
         bounds = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
