@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, token_files
+from . import bpe, jpeg, langid, packing, quality, simhash, token_files
 from .common import documents
 
 #: The end-of-text ids that the packing and file contracts ask for.
@@ -18,10 +19,35 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _fold() -> Column:
+    """The remainder by which documents are held out; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.where(_fold() != 2).select("text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", F.coalesce(_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), byte_bpe_path())
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(jpeg.encode_texts(documents(spark, sf_dir)))
+
+
+def op4_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir)).drop("spans")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), byte_bpe_path(), 2048, PACK_END)
 
@@ -32,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_progressive_jpeg, op4_suffix_array_repetition, op7_simhash, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ _DC = {s: 4 for s in range(9)}
 _AC = {4: 2, 3: 2, 6: 3, 5: 3, 7: 4, 2: 5, 1: 6, 0: 7}
 _FINE = {0: 1}
 #: Components of scans with their first and last coefficient, and successive-approximation bits high and low.
-SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 31, 0, 1), ((0,), 32, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0)]
+SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 32, 0, 1), ((0,), 33, 63, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 63, 1, 0), ((1,), 1, 63, 1, 0), ((2,), 1, 63, 1, 0)]
 
 
 def _codes(lengths: dict[int, int]) -> tuple[list[int], list[int], dict[int, tuple[int, int]]]:
@@ -75,15 +75,20 @@ def _value_code(value: int, codes: dict[int, tuple[int, int]]) -> tuple[int, int
     return code << size | (value if value >= 0 else value + (1 << size) - 1), n + size
 
 
-_AC_CODE = np.array([_value_code(int(v), _codes(_AC)[2]) for v in _HALF], np.uint64)
+_AC_CODE = np.array([_value_code(int(v), _codes(_AC)[2]) for v in _HALF], np.int64)
+#: Codes of two coefficients in a row, by 256 times the first's byte and the second's; those of one follow.
+_PAIR_LENGTH = np.append((_AC_CODE[:, None, 1] + _AC_CODE[None, :, 1]).ravel(), _AC_CODE[:, 1])
+_PAIR_CODE = np.append(((_AC_CODE[:, None, 0] << _AC_CODE[None, :, 1]) | _AC_CODE[None, :, 0]).ravel(), _AC_CODE[:, 0]).astype(np.uint64)
 _DC_CODE = np.array([_value_code(v, _codes(_DC)[2]) for v in range(-255, 256)], np.uint64)
 
 
+_TABLES = _table(0, 0, _DC) + _table(1, 0, _AC) + _table(1, 1, _FINE)
+
+
 def _header(n_mcu: tuple[int, int], n_bytes: int) -> bytes:
     width, height = n_mcu[0] * 16, n_mcu[1] * 16
     frame = struct.pack(">BHHB", 8, height, width, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-    tables = _table(0, 0, _DC) + _table(1, 0, _AC) + _table(1, 1, _FINE)
-    return b"\xff\xd8" + _segment(0xFE, _TAG + struct.pack(">Q", n_bytes)) + _segment(0xDB, bytes(1) + bytes([1] * 64)) + _segment(0xC2, frame) + _segment(0xC4, tables) + _segment(0xDD, struct.pack(">H", RESTART))
+    return b"\xff\xd8" + _segment(0xFE, _TAG + struct.pack(">Q", n_bytes)) + _segment(0xDB, bytes(1) + bytes([1] * 64)) + _segment(0xC2, frame) + _segment(0xC4, _TABLES) + _segment(0xDD, struct.pack(">H", RESTART))
 
 
 def _scan_header(components: tuple[int, ...], first: int, last: int, high: int, low: int) -> bytes:
@@ -145,21 +150,23 @@ def encode(payload: np.ndarray, blocks: np.ndarray, n_bytes: np.ndarray) -> tupl
 
 
 def _ac_codes(data: np.ndarray, filled: np.ndarray, total: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    end, width = _codes(_AC)[2][0], high - low + 1
-    empty = total - filled
-    unit = np.arange(int(total.sum()))
+    end = _codes(_AC)[2][0]
     start = np.cumsum(total) - total
-    has = np.zeros(len(unit), bool)
+    has = np.zeros(int(total.sum()), bool)
     has[ragged(start, filled)] = True
-    n = np.where(has, width, 1)
-    owner = np.repeat(unit, n)
+    pairs = data[:, low : high + 1 - (high - low + 1) % 2 : 2].astype(np.int64)
+    pairs <<= 8
+    pairs |= data[:, low + 1 : high + 1 - (high - low + 1) % 2 : 2]
+    if (high - low) % 2 == 0:
+        pairs = np.concatenate((pairs, 65536 + data[:, high : high + 1].astype(np.int64)), axis=1)
+    owner = np.repeat(np.arange(len(has)), np.where(has, pairs.shape[1], 1))
+    if has.all():
+        pairs = pairs.ravel()
+        return _PAIR_CODE[pairs], _PAIR_LENGTH[pairs], owner
     coded = has[owner]
     code = np.full(len(owner), np.uint64(end[0]))
     length = np.full(len(owner), end[1], np.int64)
-    found = _AC_CODE[data[:, low : high + 1].ravel()]
-    code[coded], length[coded] = found[:, 0], found[:, 1].astype(np.int64)
-    if high < 63 or not empty.any():
-        return code, length, owner
+    code[coded], length[coded] = _PAIR_CODE[pairs.ravel()], _PAIR_LENGTH[pairs.ravel()]
     return code, length, owner
 
 
@@ -566,35 +573,46 @@ _BASIS = _basis()
 def tensors(images: list[Image], coef: np.ndarray) -> list[np.ndarray]:
     """RGB of each image, (height, width, 3) of uint8; one component gives grey."""
     out = []
-    scaled = coef.astype(np.float64)
-    for image in images:
-        for c in image.components:
-            if (quant := image.quants[c.quant]).max() > 1:
-                scaled[c.base : c.base + c.wide * c.tall] *= quant
-    samples = np.empty(scaled.shape, np.int32)
-    for k in range(0, len(scaled), 4096):
-        part = np.floor((scaled[k : k + 4096] @ _BASIS) * 2.0**-26 + 128.5)
-        samples[k : k + 4096] = np.clip(part, 0, 255, out=part)
+    quants = [(c, q) for image in images for c in image.components if (q := image.quants[c.quant]).max() > 1]
+    if quants:
+        coef = coef.astype(np.int64)
+        for c, q in quants:
+            coef[c.base : c.base + c.wide * c.tall] *= q
+    samples = np.empty(coef.shape, np.int16)
+    for k in range(0, len(coef), 2048):
+        part = coef[k : k + 2048].astype(np.float64) @ _BASIS
+        part *= 2.0**-26
+        part += 128.5
+        np.clip(np.floor(part, out=part), 0, 255, out=part)
+        samples[k : k + 2048] = part
     for image in images:
         h, v = max(c.h for c in image.components), max(c.v for c in image.components)
-        planes = []
-        for c in image.components:
-            plane = samples[c.base : c.base + c.wide * c.tall].reshape(c.tall, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.tall, 8 * c.wide)
-            if c.v < v:
-                plane = plane.repeat(v // c.v, axis=0)
-            if c.h < h:
-                plane = plane.repeat(h // c.h, axis=1)
-            planes.append(plane[: image.height, : image.width])
+        planes = [samples[c.base : c.base + c.wide * c.tall].reshape(c.tall, c.wide, 8, 8).swapaxes(1, 2).reshape(8 * c.tall, 8 * c.wide) for c in image.components]
+        rgb = np.empty((image.height, image.width, 3), np.uint8)
+        full = lambda x, c: _upsampled(x, h // c.h, v // c.v)[: image.height, : image.width]
+        y = full(planes[0], image.components[0])
         if len(planes) == 1:
-            rgb = np.repeat(planes[0][:, :, None], 3, axis=2)
+            rgb[:] = y[:, :, None]
         else:
-            y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-            rgb = np.stack((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb), axis=2)
-            rgb = (rgb + 32768) >> 16
-        out.append(np.clip(rgb, 0, 255).astype(np.uint8))
+            # what chroma adds is found before it is upsampled
+            cb, cr = planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
+            b, r = image.components[1:]
+            for k, x in enumerate((full(_part(91881 * cr), r), full(_part(-22554 * cb), b) + full(_part(-46802 * cr), r), full(_part(116130 * cb), b))):
+                np.clip(y + x, 0, 255, out=rgb[:, :, k], casting="unsafe")
+        out.append(rgb)
     return out
 
 
+def _part(x: np.ndarray) -> np.ndarray:
+    return ((x + 32768) >> 16).astype(np.int16)
+
+
+def _upsampled(plane: np.ndarray, across: int, down: int) -> np.ndarray:
+    if across > 1:
+        plane = plane.repeat(across, axis=1)
+    return plane.repeat(down, axis=0) if down > 1 else plane
+
+
 def payloads(images: list[Image], coef: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(unpadded bytes, payload) of images that ``encode`` wrote."""
     first = coef[:, :1] != 0
