@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid, packing, quality, simhash, token_files
+from . import bpe, jpeg, langid, lm, packing, pii, quality, simhash, token_files
 from .common import documents
 
 #: The end-of-text ids that the packing and file contracts ask for.
@@ -43,6 +43,15 @@ def op4_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).drop("spans")
 
 
+def op5_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(documents(spark, sf_dir), order=3, backoff=0.4)
+    return found.withColumns({k: F.round(k, 4) for k in ("log10_score", "mean_log10")})
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_progressive_jpeg, op4_suffix_array_repetition, op7_simhash, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_progressive_jpeg, op4_suffix_array_repetition, op5_candidate_boosting, op6_stupid_backoff, op7_simhash, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
