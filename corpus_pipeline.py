@@ -1,20 +1,45 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, with the columns
+of documents, and returns what it keeps, with the same columns; the last returns pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import entries, packing
+from paperloom.llm import entries, packing, pii, quality, simhash, suffix_dedup
 from paperloom.llm.common import documents, stored
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates: fingerprints of five-word shingles that differ in at most four bits."""
+    return simhash.keep_one(docs, shingle=5, bits=4)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes or more that occur elsewhere."""
+    return suffix_dedup.without_repeats(docs, length=400)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 2048 tokens."""
     return packing.pack(docs, entries.byte_bpe_path(), 2048, entries.PACK_END)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [("quality rules", good), ("near-duplicates", one_of_each), ("repeated passages", without_repeats), ("personal data", redacted), ("best-fit packing", packed)]
 
-#: No stage but the last could be written in SQL, and that needs a tokenizer.
+#: The stages need suffix arrays, fingerprints and a tokenizer, which SQL doesn't have: tests hold them against brute force.
 ORACLE_SQL = None
 
 

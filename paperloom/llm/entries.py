@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid, lm, packing, pii, quality, simhash, token_files
+from . import bpe, jpeg, langid, lm, packing, pii, quality, simhash, suffix_dedup, token_files
 from .common import documents
 
 #: The end-of-text ids that the packing and file contracts ask for.
@@ -57,6 +57,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir), length=400)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), byte_bpe_path(), 2048, PACK_END)
 
@@ -67,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_progressive_jpeg, op4_suffix_array_repetition, op5_candidate_boosting, op6_stupid_backoff, op7_simhash, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe, op3_progressive_jpeg, op4_suffix_array_repetition, op5_candidate_boosting, op6_stupid_backoff, op7_simhash, op8_suffix_array_dedup, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
