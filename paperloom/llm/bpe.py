@@ -59,7 +59,7 @@ class Bpe:
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._encoder = StretchEncoder(self._encode_each, list(self.special))
 
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin."""
         return self._encoder.encode(texts)
 
@@ -176,7 +176,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = worker_bpe(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, bounds = bpe.encode(batch.column("text").to_pylist())
+            ids, bounds = bpe.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             return {"doc_id": batch.column("doc_id"), "ids": lists, "decoded": bpe.decode(ids, bounds)}
 
@@ -192,7 +192,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = worker_bpe(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, bounds = bpe.encode(batch.column("text").to_pylist())
+            ids, bounds = bpe.encode(batch.column("text"))
             data = memoryview(ids.astype("<u4")).cast("B")
             of = lambda b: hashlib.sha256(b).hexdigest()
             return {"doc_id": batch.column("doc_id"), "n_tokens": np.diff(bounds), "ids_sha256": [of(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "decoded_sha256": [of(x.encode()) for x in bpe.decode(ids, bounds)]}

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
         seen = np.zeros(capacity + 1, np.int64)
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, bounds = with_end(*encoder.encode(batch.column("text").to_pylist()), end_id)
+            ids, bounds = with_end(*encoder.encode(batch.column("text")), end_id)
             n = np.diff(bounds)
             count = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), count)

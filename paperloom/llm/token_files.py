@@ -182,7 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataF
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds = with_end(*encoder.encode(part.column("text").to_pylist()), end_id)
+                ids, bounds = with_end(*encoder.encode(part.column("text")), end_id)
                 doc_ids += part.column("doc_id").to_pylist()
                 parts.append(ids)
                 ends.append(bounds[1:] + ends[-1][-1])

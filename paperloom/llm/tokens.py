@@ -15,6 +15,8 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import ragged
@@ -25,7 +27,12 @@ REMEMBERED = 800_000
 REMEMBERED_CHARS = 16 << 20
 
 _INNER_SPACE = re.compile(r"\s \s")
-_DOUBLE_SPACE = re.compile(r"\s\s")
+#: All white space, of Python and of Unicode, inside brackets of a pattern.
+SPACES = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _quoted(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
 
 
 class _Known(dict):
@@ -49,6 +56,8 @@ class StretchEncoder:
     def __init__(self, encode_each: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: Sequence[str] = ()):
         self.encode_each = encode_each
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        strings = [f"[{SPACES}][{SPACES}]", *map(_quoted, special)]
+        self.apart = "|".join(strings)
         self.forget()
 
     def forget(self) -> None:
@@ -97,7 +106,7 @@ class StretchEncoder:
         self.ids[self.filled : self.filled + total] = ids
         self.filled += total
 
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._thin()
         # the many small lists hold no cycles, and the collector would go through them again and again
@@ -109,38 +118,62 @@ class StretchEncoder:
             if on:
                 gc.enable()
 
-    def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        known, pieces, counts = self.known, [], []
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            if self.special and self.special.search(text):
-                parts = [text]
-            elif not _DOUBLE_SPACE.search(text):
-                parts = []
-                for line in text.split("\n"):
-                    first, *rest = line.split(" ")
-                    parts.append(first)
-                    parts += [" " + x for x in rest]
-                    parts.append("\n")
-                parts.pop()
-            elif not _INNER_SPACE.search(text):
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + x for x in rest]]
-            else:
-                parts = [text]
-            pieces += parts
-            counts.append(len(parts))
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+    def _encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        apart = pc.match_substring_regex(column, self.apart).to_numpy(zero_copy_only=False)
+        plain, odd = np.flatnonzero(~apart), np.flatnonzero(apart)
+        counts = np.zeros(len(column), np.int64)
+        numbers, counts[plain] = self._plain(column.take(pa.array(plain)) if len(odd) else column)
+        others: list[int] = []
+        for k in odd.tolist():
+            parts = self._parts(column[k].as_py())
+            others += map(self.known.__getitem__, parts)
+            counts[k] = len(parts)
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        if len(odd):
+            at = np.empty(int(bounds[-1]), np.int64)
+            at[ragged(bounds[plain], counts[plain])] = numbers
+            at[ragged(bounds[odd], counts[odd])] = others
+        else:
+            at = numbers
         self._learn()
-        self.uses[: len(known)] += np.bincount(at, minlength=len(known))
+        self.uses[: len(self.known)] += np.bincount(at, minlength=len(self.known))
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
-        bounds = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return ids, ends[bounds]
 
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the stretches of texts in which no two white-space characters meet, and how many each text has.
+
+        Words are split and told apart in Arrow; each different one is looked up once.
+        """
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n "), " ")
+        words = lists.flatten().dictionary_encode()
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(len(column), np.int64)
+        index, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        bounds -= bounds[0]
+        end = names.index("\n") if "\n" in names else -1
+        bare = index == end  # a line end, and what follows one or begins a text, has no space before it
+        bare[1:] |= index[:-1] == end
+        bare[bounds[:-1]] = True
+        known = self.known
+        spaced = np.zeros(len(names), np.int64)
+        used = np.unique(index[~bare])
+        spaced[used] = [known[" " + names[k]] for k in used.tolist()]
+        numbers = spaced[index]
+        first, back = np.unique(index[bare], return_inverse=True)
+        numbers[bare] = np.array([known[names[k]] for k in first.tolist()], np.int64)[back]
+        return numbers, np.diff(bounds)
+
+    def _parts(self, text: str) -> list[str]:
+        if (self.special and self.special.search(text)) or _INNER_SPACE.search(text):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
 
 def byte_letters() -> dict[int, str]:
     """The printable character that a byte-level vocabulary writes for each byte: itself where Latin-1 prints it, else the next one from U+0100."""
