@@ -3,8 +3,8 @@
 The suffixes of all bytes of a corpus are far too many to sort, so the array is built over
 phrases. Texts are cut at minimizers: places whose hash of eight bytes is the least of a window,
 so that equal passages are cut alike, and a passage of the given length has a whole phrase in
-common with its equal. Phrases that occur once end what can repeat; the runs of the others are
-the strings. Their suffixes are sorted by the difference-cover algorithm: triples at two of
+common with its equal. What surely follows a passage's first cut is its anchor; phrases behind
+no repeated anchor can't repeat, and the runs of the others are the strings. Their suffixes are sorted by the difference-cover algorithm: triples at two of
 three positions are sorted and named, the strings of names are sorted by recursion, and the
 remaining suffixes are merged with them. Neighbours in the array are then compared, which gives
 at each phrase how far it repeats.
@@ -33,7 +33,7 @@ from .common import byte_rows, drop_stored, in_arrow, ragged, stored
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
-SMALL = 1 << 18
+SMALL = 1 << 20
 #: Neighbours in the array that are compared in one task.
 ADJACENT = 1 << 12
 KEY = ["tid", "run", "path"]
@@ -79,8 +79,13 @@ def cuts(data: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
 
 
 def phrases(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_hash, n_bytes, sha256, cuts, names): a row for each document; names are hashes of the phrases between cuts."""
+    """(doc_id, text_hash, n_bytes, sha256, cuts, names, anchors): a row for each document.
+
+    names are hashes of the phrases between cuts. anchors are hashes of the bytes after a cut
+    that a repeated passage surely has behind its first cut; 0 where the text ends before.
+    """
     window = _window(length)
+    ahead = length - window + 1
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
@@ -91,6 +96,9 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
             names = np.zeros(len(at), np.int64)
             inner = np.flatnonzero(row[:-1] == row[1:]) if len(at) else np.zeros(0, np.int64)
             names[inner] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[inner].tolist(), at[inner + 1].tolist(), strict=True)], np.uint64).view(np.int64)
+            anchors = np.zeros(len(at), np.int64)
+            long_ = np.flatnonzero(at + ahead <= bounds[row + 1])
+            anchors[long_] = np.array([xxhash.xxh3_64_intdigest(raw[a : a + ahead], 1) for a in at[long_].tolist()], np.uint64).view(np.int64)
             counts = np.diff(first)
             texts = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             named = np.ones(len(at), bool)
@@ -102,11 +110,12 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
                 "sha256": [hashlib.sha256(x).hexdigest() for x in texts],
                 "cuts": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at - bounds[row], pa.int32())),
                 "names": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(named)))[first], pa.int32()), pa.array(names[named])),
+                "anchors": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(anchors)),
             }
 
         return step
 
-    return in_arrow(docs.select("doc_id", "text"), begin, "doc_id long, text_hash binary, n_bytes long, sha256 string, cuts array<int>, names array<long>")
+    return in_arrow(docs.select("doc_id", "text"), begin, "doc_id long, text_hash binary, n_bytes long, sha256 string, cuts array<int>, names array<long>, anchors array<long>")
 
 
 # --- the suffix array ------------------------------------------------------------------------
@@ -234,6 +243,34 @@ def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
 # --- from neighbours to spans ----------------------------------------------------------------
 
 
+def _live(texts: DataFrame) -> DataFrame:
+    """(tid, at): the numbers of each text's cuts whose anchor occurs again."""
+    each = texts.select("tid", F.posexplode("anchors").alias("i", "anchor")).where("anchor <> 0")
+    again = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    return each.join(again, "anchor", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("i")).alias("at"))
+
+
+def _phrases_behind(texts: DataFrame, live: DataFrame, length: int) -> DataFrame:
+    """(tid, i, name, start, size): phrases that begin at a live cut or less than ``length`` bytes behind one: no other can be in a repeated passage."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = {k: [np.zeros(0, np.int64)] for k in ("tid", "i", "name", "start", "size")}
+            columns = [batch.column(k) for k in ("cuts", "names", "at")]
+            for k, tid in enumerate(batch.column("tid").to_pylist()):
+                cut, name, at = (c[k].values.to_numpy().astype(np.int64) for c in columns)
+                start = cut[:-1]
+                last = np.searchsorted(at, np.arange(len(start)), side="right") - 1  # the live cut at or before each phrase
+                i = np.flatnonzero((last >= 0) & (start - cut[at[np.maximum(last, 0)]] < length))
+                for key, x in (("tid", np.full(len(i), tid)), ("i", i), ("name", name[i]), ("start", start[i]), ("size", cut[i + 1] - start[i])):
+                    out[key].append(x)
+            return {k: np.concatenate(v) for k, v in out.items()}
+
+        return step
+
+    return in_arrow(texts.join(live, "tid").select("tid", "cuts", "names", "at"), begin, "tid long, i int, name long, start int, size int", weigh=None)
+
+
 def _runs(repeated: DataFrame) -> DataFrame:
     """(tid, run, path, values, starts, sizes) of (tid, i, name, start, size): stretches of consecutive phrases; run is the first one's number."""
     after = F.row_number().over(Window.partitionBy("tid").orderBy("i"))
@@ -242,56 +279,88 @@ def _runs(repeated: DataFrame) -> DataFrame:
     return rows.select("tid", F.col("x")[0]["i"].alias("run"), F.lit(0).cast("long").alias("path"), part("name").alias("values"), part("start").alias("starts"), part("size").alias("sizes"))
 
 
-def _reach(runs: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
-    """(tid, start, reach): for each phrase the bytes of whole phrases from its start that occur elsewhere too, at least; ``enough`` at most."""
-    heads = stored(_heads(runs.join(ranks, KEY), enough))
-    classes = heads.groupBy("rank").agg(F.count("*").alias("n"), F.any_value(F.struct("values", "sizes")).alias("x"))
-    # a class goes where it stands, and where its successor stands
-    at = lambda c: F.floor(c / ADJACENT)
-    dealt = classes.select("rank", "n", "x.values", "x.sizes", F.explode(F.array_distinct(F.array(at(F.col("rank")), at(F.col("rank") + F.col("n"))))).alias("bucket"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(k).to_pylist() for k in ("rank", "n", "values", "sizes")), strict=True), key=lambda x: x[0])
-        rank, shared = [], []
-        for (r, n, a, sizes), (s, _, b, _) in zip(rows[:-1], rows[1:], strict=True):
-            if r + n != s or a[0] != b[0]:
-                continue
-            k = 1
-            while k < min(len(a), len(b)) and a[k] == b[k]:
-                k += 1
-            total = sum(sizes[:k])
-            rank += [r, s]
-            shared += [total, total]
-        return pa.table({"rank": pa.array(rank, pa.int64()), "shared": pa.array(shared, pa.int32())})
-
-    pairs = dealt.groupBy("bucket").applyInArrow(lambda t: compare(t), "rank long, shared int").groupBy("rank").agg(F.max("shared").alias("shared"))
-    known = classes.select("rank", "n").join(pairs, "rank", "left")
-    out = heads.select("tid", "start", "rank", "to_end").join(known, "rank")
-    reach = F.when(F.col("n") > 1, F.col("to_end")).otherwise(F.least(F.coalesce("shared", F.lit(0)), F.col("to_end")))
-    return out.select("tid", "start", reach.alias("reach")).where("reach > 0")
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of lists."""
+    at = np.asarray(column.offsets).astype(np.int64)
+    return at - at[0], column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
 
 
 def _heads(joined: DataFrame, enough: int) -> DataFrame:
-    """(tid, start, rank, to_end, values, sizes): each phrase with those from it on, until they have ``enough`` bytes."""
+    """(tid, run, j, start, rank, to_end): each phrase of a run, and the bytes from it to the run's end, ``enough`` at most."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {k: [] for k in ("tid", "start", "rank", "to_end", "values", "sizes")}
-            for tid, values, starts, sizes, ranks in zip(*(batch.column(k).to_pylist() for k in ("tid", "values", "starts", "sizes", "ranks")), strict=True):
-                ends = np.cumsum(sizes)
-                begin = ends - sizes
-                last = np.minimum(np.searchsorted(ends, begin + enough) + 1, len(sizes)).tolist()
-                out["tid"] += [tid] * len(ranks)
-                out["start"] += starts
-                out["rank"] += ranks
-                out["to_end"] += np.minimum(ends[-1] - begin, enough).tolist()
-                out["values"] += [values[j:k] for j, k in enumerate(last)]
-                out["sizes"] += [sizes[j:k] for j, k in enumerate(last)]
-            return out
+            bounds, sizes = _lists(batch.column("sizes"))
+            n = np.diff(bounds)
+            row = np.repeat(np.arange(len(n)), n)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            to_end = np.minimum(ends[bounds[1:]][row] - ends[:-1], enough)
+            one = lambda k: np.asarray(batch.column(k))[row]
+            return {"tid": one("tid"), "run": one("run"), "j": np.arange(len(row)) - bounds[row], "start": _lists(batch.column("starts"))[1], "rank": _lists(batch.column("ranks"))[1], "to_end": to_end}
+
+        return step
+
+    return in_arrow(joined.select("tid", "run", "starts", "sizes", "ranks"), begin, "tid long, run int, j int, start int, rank long, to_end int", weigh=None)
+
+
+def _prefixes(runs: DataFrame, wanted: DataFrame, enough: int) -> DataFrame:
+    """(rank, n, values, sizes): for the phrases ``wanted`` of each run, the phrases from there on until they have ``enough`` bytes."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            bounds, sizes = _lists(batch.column("sizes"))
+            values = _lists(batch.column("values"))[1]
+            asked, _ = _lists(batch.column("asked"))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(asked))
+            flat = batch.column("asked").flatten()
+            first = bounds[of] + flat.field("j").to_numpy()
+            ends = np.cumsum(sizes)
+            last = np.minimum(np.searchsorted(ends, ends[first] - sizes[first] + enough) + 1, bounds[of + 1])
+            n = last - first
+            at, to = ragged(first, n), pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            return {"rank": flat.field("rank"), "n": flat.field("n"), "values": pa.ListArray.from_arrays(to, pa.array(values[at])), "sizes": pa.ListArray.from_arrays(to, pa.array(sizes[at]))}
 
         return step
 
-    return in_arrow(joined.select("tid", "values", "starts", "sizes", "ranks"), begin, "tid long, start int, rank long, to_end int, values array<long>, sizes array<int>", weigh=None)
+    asked = wanted.groupBy("tid", "run").agg(F.collect_list(F.struct("j", "rank", "n")).alias("asked"))
+    joined = runs.select("tid", "run", "values", "sizes").join(asked, ["tid", "run"])
+    return in_arrow(joined.select("values", "sizes", "asked"), begin, "rank long, n long, values array<long>, sizes array<int>", weigh=None)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Bytes that classes of suffixes share with the ones beside them in the array."""
+    table = table.combine_chunks().sort_by("rank")
+    rank, n = table.column("rank").to_numpy(), table.column("n").to_numpy()
+    bounds, values = _lists(table.column("values").combine_chunks())
+    _, sizes = _lists(table.column("sizes").combine_chunks())
+    length = np.diff(bounds)
+    pair = np.flatnonzero(rank[:-1] + n[:-1] == rank[1:])
+    shared, k, on = np.zeros(len(pair), np.int64), 0, np.arange(len(pair))
+    while len(on):
+        a, b = pair[on], pair[on] + 1
+        on = on[(k < length[a]) & (k < length[b])]
+        a, b = bounds[pair[on]] + k, bounds[pair[on] + 1] + k
+        same = values[a] == values[b]
+        on = on[same]
+        shared[on] += sizes[a[same]]
+        k += 1
+    some = shared > 0
+    return pa.table({"rank": np.concatenate((rank[pair[some]], rank[pair[some] + 1])), "shared": pa.array(np.tile(shared[some], 2), pa.int32())})
+
+
+def _reach(runs: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
+    """(tid, start, reach): for each phrase the bytes of whole phrases from its start that occur elsewhere too; ``enough`` at most."""
+    heads = stored(_heads(runs.join(ranks, KEY), enough))
+    # one phrase stands for all with its rank: their suffixes are equal
+    classes = stored(heads.groupBy("rank").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("tid", "run", "j")]))
+    at = lambda c: F.floor(c / ADJACENT)
+    # a class goes where it stands, and where its successor stands
+    dealt = _prefixes(runs, classes, enough).select("*", F.explode(F.array_distinct(F.array(at(F.col("rank")), at(F.col("rank") + F.col("n"))))).alias("bucket"))
+    pairs = dealt.groupBy("bucket").applyInArrow(_compare, "rank long, shared int").groupBy("rank").agg(F.max("shared").alias("shared"))
+    known = classes.select("rank", "n").join(pairs, "rank", "left")
+    out = heads.select("tid", "start", "rank", "to_end").join(known, "rank")
+    reach = F.when(F.col("n") > 1, F.col("to_end")).otherwise(F.least(F.coalesce("shared", F.lit(0)), F.col("to_end")))
+    return out.select("tid", "start", reach.alias("reach")).where("reach > 0")
 
 
 def _open_places(starts: np.ndarray, reach: np.ndarray, n: int, length: int, window: int) -> np.ndarray:
@@ -333,17 +402,16 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     """Per row (doc_id, text_hash, n_bytes, sha256), and per text with something to remove (text_hash, n_removed, n_spans, kept_sha256, edges)."""
     window = _window(length)
     held = stored(phrases(docs, length))
-    texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.any_value(F.struct("n_bytes", "cuts", "names")).alias("x"))
+    texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.any_value(F.struct("n_bytes", "cuts", "names", "anchors")).alias("x"))
     texts = stored(texts.select("text_hash", "copies", "x.*").withColumn("tid", F.monotonically_increasing_id()))
-    each = texts.select("tid", "cuts", F.posexplode("names").alias("i", "name"))
-    each = each.select("tid", "i", "name", F.col("cuts")[F.col("i")].alias("start"), (F.col("cuts")[F.col("i") + 1] - F.col("cuts")[F.col("i")]).alias("size"))
-    again = each.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    again = stored(_prefix_counts(again.select("name", F.lit(1).cast("long").alias("n")), ["name"], ["n"]).select("name", F.col("before_n").alias("number")))
-    repeated = each.join(again, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")
-    runs = stored(_runs(repeated))
+    behind = stored(_phrases_behind(texts, _live(texts), length))
+    again = behind.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(1).cast("long").alias("n"))
+    numbered = _prefix_counts(again, ["name"], ["n"]).select("name", F.col("before_n").alias("number"))
+    runs = stored(_runs(behind.join(numbered, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")))
+    drop_stored(behind)
     ranks = suffix_ranks(runs.select(*KEY, "values"), small)
-    reach = stored(_reach(runs, ranks, length + 2 * window).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("start", "reach"))).alias("reach")))
-    drop_stored(runs, again)
+    reach = stored(_reach(runs, ranks, length + window).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("start", "reach"))).alias("reach")))
+    drop_stored(runs)
     wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "reach")
     open_ = stored(_with_texts(docs, wanted))
     hashes = stored(in_arrow(open_, lambda: _hash_step(length, window), "tid long, place int, h long"))
