@@ -1,9 +1,10 @@
 """Stupid-backoff scores, computed relationally.
 
-Documents are gathered into blocks. A block's n-grams of all orders are exploded, counted and
-dealt out by hash; each hash range is a partition of the count tables, where the blocks' counts
-are summed and joined back to the blocks' n-grams. A block's answers meet it again, and each
-document's terms are summed. A document is scored by all others: its own n-grams are taken off
+Documents are gathered into blocks. A block's n-grams are exploded, counted and dealt out by
+hash; each hash range is a partition of the count tables, where the blocks' counts are summed
+and joined back to the blocks' n-grams. A block's answers meet it again, and each document's
+terms are summed. From order three on only n-grams whose two parts other documents have are
+dealt out, as no other document can have the rest. A document is scored by all others: its own n-grams are taken off
 the counts. Rows of these tables are sorted runs of n-grams, coded by their differences, so
 that a hash that many documents have is one entry for each block.
 """
@@ -58,21 +59,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def block_grams(word: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 .. order: the positions at which an n-gram ends, and its hash. word: hashes of the tokens."""
-    out, value = [], _mixed(word)
-    at = np.arange(len(word))
-    for n in range(1, order + 1):
-        if n > 1:
-            inside = doc[at] == doc[at - 1] if n == 2 else doc[at] == doc[np.maximum(at - n + 1, 0)]
-            inside &= at >= n - 1
-            at = at[inside]
-            value_n = _mixed(value_at[at - 1] * _ODD + word[at] + np.uint64(n))
-        else:
-            value_n = value
-        value_at = np.zeros(len(word), np.uint64)
-        value_at[at] = value_n
-        out.append((at, value_n))
+class Grams:
+    """A block's n-grams of one order: the tokens that end one, which n-gram each ends, and the distinct ones' hashes and counts."""
+
+    def __init__(self, at: np.ndarray, which: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+        self.at, self.which, self.hashes, self.counts = at, which, hashes, counts
+        self.order = np.argsort(hashes)  # by hash, as they are dealt out
+
+
+def block_grams(token: np.ndarray, doc: np.ndarray, word_hash: np.ndarray, order: int) -> list[Grams]:
+    """n-grams of orders 1 to ``order`` within documents; tokens are numbers of words."""
+    n_words = np.int64(max(len(word_hash), 1))
+    out = [Grams(np.arange(len(token)), token, _mixed(word_hash), np.bincount(token, minlength=len(word_hash)))]
+    place = np.arange(len(token))
+    for n in range(2, order + 1):
+        at = place[n - 1 :]
+        at = at[doc[at] == doc[at - n + 1]]
+        shorter = out[-1]
+        before = np.zeros(len(token), np.int64)
+        before[shorter.at] = shorter.which
+        keys, which, counts = np.unique(before[at - 1] * n_words + token[at], return_inverse=True, return_counts=True)
+        hashes = _mixed(shorter.hashes[keys // n_words] * _ODD + word_hash[keys % n_words] + np.uint64(n))
+        out.append(Grams(at, which, hashes, counts))
     return out
 
 
@@ -100,67 +108,127 @@ def blocks(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), begin, "block long, doc_ids array<long>, lengths array<int>, words binary, tokens binary, n long", step_bytes=BLOCK_BYTES)
 
 
-def _grams_of(words: bytes, tokens: bytes, lengths: list[int], order: int):
-    word = _unpacked(words, 8)[_unpacked(tokens, 4).astype(np.int64)]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    return doc, block_grams(word, doc, order)
+def _grams_of(row: dict, order: int) -> tuple[np.ndarray, list[Grams]]:
+    doc = np.repeat(np.arange(len(row["lengths"])), row["lengths"])
+    return doc, block_grams(_unpacked(row["tokens"], 4).astype(np.int64), doc, _unpacked(row["words"], 8), order)
 
 
 def _edges(buckets: int) -> np.ndarray:
     return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
 
-def counted(held: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(bucket, block, grams, counts): each block's distinct n-grams in a hash range, and how often it has them."""
+_COUNTED = "bucket int, block long, n int, grams binary, counts binary"
+
+
+def _dealt(block: int, n: int, grams: Grams, edges: np.ndarray, some: np.ndarray | None, out: dict) -> None:
+    """Add to ``out`` a row for each hash range in which the block has n-grams; some: which of the distinct ones."""
+    order = grams.order if some is None else grams.order[some[grams.order]]
+    hashes, counts = grams.hashes[order], grams.counts[order]
+    cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            for k, x in (("bucket", bucket), ("block", block), ("n", n), ("grams", _packed_run(hashes[a:b])), ("counts", _packed(counts[a:b], 4))):
+                out[k].append(x)
+
+
+def _empty(schema: str) -> dict:
+    return {x.split()[0]: [] for x in schema.split(", ")}
+
+
+def counted(held: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, n, grams, counts): each block's distinct words and pairs in a hash range, and how often it has them."""
     edges = _edges(buckets)
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {"bucket": [], "block": [], "grams": [], "counts": []}
-            for block, words, tokens, lengths in zip(*(batch.column(k).to_pylist() for k in ("block", "words", "tokens", "lengths")), strict=True):
-                _, grams = _grams_of(words, tokens, lengths, order)
-                found, counts = np.unique(np.concatenate([g for _, g in grams]), return_counts=True)
-                cuts = [0, *np.searchsorted(found, edges).tolist(), len(found)]
-                for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if a < b:
-                        for k, x in (("bucket", bucket), ("block", block), ("grams", _packed_run(found[a:b])), ("counts", _packed(counts[a:b], 4))):
-                            out[k].append(x)
+            out = _empty(_COUNTED)
+            for row in batch.to_pylist():
+                for n, grams in enumerate(_grams_of(row, 2)[1], 1):
+                    _dealt(row["block"], n, grams, edges, None, out)
             return out
 
         return step
 
-    return in_arrow(held.select("block", "words", "tokens", "lengths"), begin, "bucket int, block long, grams binary, counts binary", weigh="tokens", step_bytes=1)
+    return in_arrow(held.select("block", "words", "tokens", "lengths"), begin, _COUNTED, weigh="tokens", step_bytes=1)
+
+
+def _elsewhere(grams: Grams, totals: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each token that ends an n-gram, how often other documents have it. totals: of the distinct n-grams, by their numbers."""
+    own = np.ones(len(grams.at), np.int64)
+    several = np.flatnonzero(grams.counts[grams.which] > 1)
+    key = doc[grams.at[several]] * np.int64(len(grams.counts)) + grams.which[several]
+    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+    own[several] = counts[back]
+    return totals[grams.which] - own
+
+
+def _totals(grams: Grams, answers: list[tuple[int, bytes]], some: np.ndarray | None = None) -> np.ndarray:
+    """All blocks' counts of a block's distinct n-grams; those that weren't asked for are in no other document and have the block's own."""
+    order = grams.order if some is None else grams.order[some[grams.order]]
+    totals = grams.counts.astype(np.int64)
+    if len(order):
+        totals[order] = np.concatenate([_unpacked(x, 8) for _, x in sorted(answers)]).astype(np.int64)
+    return totals
+
+
+def _by_order(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for n, bucket, totals in zip(*(table.column(k).to_pylist() for k in ("n", "bucket", "totals")), strict=True):
+        out.setdefault(n, []).append((bucket, totals))
+    return out
+
+
+def _settled(row: dict, answers: dict[int, list[tuple[int, bytes]]], order: int):
+    """The block's n-grams and their counts elsewhere, order by order, as far as there are answers; and which distinct ones of the next order may be elsewhere."""
+    doc, grams = _grams_of(row, order)
+    others, some = [], None
+    for n in range(1, order + 1):
+        g = grams[n - 1]
+        if n > 2:
+            # an n-gram that another document has has both its parts there
+            known = np.zeros(len(doc), bool)
+            known[grams[n - 2].at] = others[-1] > 0
+            here = known[g.at] & known[g.at - 1]
+            some = np.zeros(len(g.counts), bool)
+            some[g.which[here]] = True
+            if n not in answers and some.any():
+                return doc, grams, others, some
+        others.append(_elsewhere(g, _totals(g, answers.get(n, []), some), doc))
+    return doc, grams, others, None
+
+
+def counted_next(held: DataFrame, answers: DataFrame, order: int, buckets: int) -> DataFrame:
+    """As ``counted``, for n-grams of one order above those answered: only those whose parts other documents have."""
+    edges = _edges(buckets)
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, found = _empty(_COUNTED), _by_order(right)
+        for row in left.to_pylist():
+            _, grams, _, some = _settled(row, found, order)
+            if some is not None:
+                _dealt(row["block"], order, grams[order - 1], edges, some, out)
+        kinds = {"bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    return held.select("block", "words", "tokens", "lengths").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, _COUNTED)
 
 
 def answered(counts: DataFrame) -> DataFrame:
-    """(block, bucket, totals): for the n-grams of ``counts``, in their order, how often all blocks together have them."""
+    """(block, n, bucket, totals): for the n-grams of ``counts``, in their order, how often all blocks together have them. A stored table."""
 
     def join(table: pa.Table) -> pa.Table:
         runs = [_unpacked_run(x) for x in table.column("grams").to_pylist()]
         grams = np.concatenate(runs)
         ends = np.cumsum([len(x) for x in runs])
         n = np.concatenate([_unpacked(x, 4) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(grams, kind="stable")
+        order = np.argsort(grams)
         grams = grams[order]
         first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
         totals = np.empty(len(grams), np.int64)
         totals[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(grams))))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([_packed(x, 8) for x in np.split(totals, ends[:-1])], pa.binary())})
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "totals": pa.array([_packed(x, 8) for x in np.split(totals, ends[:-1])], pa.binary())})
 
-    return counts.groupBy("bucket").applyInArrow(join, "block long, bucket int, totals binary")
-
-
-def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """How often each n-gram's document has it."""
-    if not len(gram):
-        return np.zeros(0, np.int64)
-    order = np.lexsort((gram, doc))
-    d, g = doc[order], gram[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]))))
-    out = np.empty(len(gram), np.int64)
-    sizes = np.diff(np.append(first, len(gram)))
-    out[order] = np.repeat(sizes, sizes)
-    return out
+    return stored(counts.groupBy("bucket").applyInArrow(join, "block long, n int, bucket int, totals binary"))
 
 
 def terms(doc: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], total: np.ndarray, backoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,21 +274,21 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
     held = stored(blocks(docs))
     n_all = held.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, -(-order * n_all // BUCKET_GRAMS))
-    answers = answered(counted(held, order, buckets))
+    buckets = max(partitions, -(-2 * n_all // BUCKET_GRAMS))
+    answers = answered(counted(held, buckets))
+    for n in range(3, order + 1):
+        answers = answers.union(answered(counted_next(held, answers, n, buckets)))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "log10_score": [], "mean_log10": [], "n_found": []}
-        for words, tokens, lengths, doc_ids in zip(*(left.column(k).to_pylist() for k in ("words", "tokens", "lengths", "doc_ids")), strict=True):
-            doc, grams = _grams_of(words, tokens, lengths, order)
-            found = np.unique(np.concatenate([g for _, g in grams]))
-            parts = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
-            totals = np.concatenate([_unpacked(x, 8) for _, x in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        found = _by_order(right)
+        for row in left.to_pylist():
+            lengths = row["lengths"]
+            doc, grams, others, _ = _settled(row, found, order)
             size = np.array(lengths, np.int64)
-            others = [(at, totals[np.searchsorted(found, g)] - _own(doc[at], g)) for at, g in grams]
-            score, level = terms(doc, others, n_all - size[doc], backoff)
+            score, level = terms(doc, [(g.at, x) for g, x in zip(grams, others, strict=True)], n_all - size[doc], backoff)
             sums = np.bincount(doc, score, len(size))
-            out["doc_id"] += doc_ids
+            out["doc_id"] += row["doc_ids"]
             out["n_words"] += lengths
             out["log10_score"] += sums.tolist()
             out["mean_log10"] += [s / n if n else None for s, n in zip(sums.tolist(), lengths, strict=True)]
