@@ -14,11 +14,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
 from .common import in_arrow, stored
 
 #: Bytes of text in a block, and n-grams of all blocks that a partition of the count tables gets on average at most.
@@ -26,33 +26,6 @@ BLOCK_BYTES, BUCKET_GRAMS = 6 << 20, 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of each value, all first bytes first, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + planes.tobytes())
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, 8).reshape(width, n).T
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
-def _packed_run(hashes: np.ndarray) -> bytes:
-    """A sorted run by its differences, in six bytes each; in eight if one needs them."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    wide = bool((steps[1:] >> np.uint64(48)).any())
-    first = int(hashes[0]).to_bytes(8, "little")
-    return bytes([wide]) + first + _packed(steps[1:], 8 if wide else 6)
-
-
-def _unpacked_run(data: bytes) -> np.ndarray:
-    first = np.frombuffer(data, "<u8", 1, 1).astype(np.uint64)
-    return np.cumsum(np.concatenate((first, _unpacked(data[9:], 8 if data[0] else 6))), dtype=np.uint64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -101,7 +74,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 lengths.append(len(words))
             made += 1
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
-            return {"block": [task << 32 | made], "doc_ids": [batch.column("doc_id").to_pylist()], "lengths": [lengths], "words": [_packed(hashes, 8)], "tokens": [_packed(np.array(tokens, np.uint64), 4)], "n": [len(tokens)]}
+            return {"block": [task << 32 | made], "doc_ids": [batch.column("doc_id").to_pylist()], "lengths": [lengths], "words": [runs.packed(hashes, 8)], "tokens": [runs.packed(np.array(tokens, np.uint64), 4)], "n": [len(tokens)]}
 
         return step
 
@@ -110,11 +83,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def _grams_of(row: dict, order: int) -> tuple[np.ndarray, list[Grams]]:
     doc = np.repeat(np.arange(len(row["lengths"])), row["lengths"])
-    return doc, block_grams(_unpacked(row["tokens"], 4).astype(np.int64), doc, _unpacked(row["words"], 8), order)
-
-
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return doc, block_grams(runs.unpacked(row["tokens"], 4).astype(np.int64), doc, runs.unpacked(row["words"], 8), order)
 
 
 _COUNTED = "bucket int, block long, n int, grams binary, counts binary"
@@ -124,11 +93,9 @@ def _dealt(block: int, n: int, grams: Grams, edges: np.ndarray, some: np.ndarray
     """Add to ``out`` a row for each hash range in which the block has n-grams; some: which of the distinct ones."""
     order = grams.order if some is None else grams.order[some[grams.order]]
     hashes, counts = grams.hashes[order], grams.counts[order]
-    cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b:
-            for k, x in (("bucket", bucket), ("block", block), ("n", n), ("grams", _packed_run(hashes[a:b])), ("counts", _packed(counts[a:b], 4))):
-                out[k].append(x)
+    for bucket, a, b in runs.ranges(hashes, edges):
+        for k, x in (("bucket", bucket), ("block", block), ("n", n), ("grams", runs.packed_run(hashes[a:b])), ("counts", runs.packed(counts[a:b], 4))):
+            out[k].append(x)
 
 
 def _empty(schema: str) -> dict:
@@ -137,7 +104,7 @@ def _empty(schema: str) -> dict:
 
 def counted(held: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, n, grams, counts): each block's distinct words and pairs in a hash range, and how often it has them."""
-    edges = _edges(buckets)
+    edges = runs.edges(buckets)
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
@@ -167,7 +134,7 @@ def _totals(grams: Grams, answers: list[tuple[int, bytes]], some: np.ndarray | N
     order = grams.order if some is None else grams.order[some[grams.order]]
     totals = grams.counts.astype(np.int64)
     if len(order):
-        totals[order] = np.concatenate([_unpacked(x, 8) for _, x in sorted(answers)]).astype(np.int64)
+        totals[order] = np.concatenate([runs.unpacked(x, 8) for _, x in sorted(answers)]).astype(np.int64)
     return totals
 
 
@@ -199,7 +166,7 @@ def _settled(row: dict, answers: dict[int, list[tuple[int, bytes]]], order: int)
 
 def counted_next(held: DataFrame, answers: DataFrame, order: int, buckets: int) -> DataFrame:
     """As ``counted``, for n-grams of one order above those answered: only those whose parts other documents have."""
-    edges = _edges(buckets)
+    edges = runs.edges(buckets)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         out, found = _empty(_COUNTED), _by_order(right)
@@ -217,16 +184,8 @@ def answered(counts: DataFrame) -> DataFrame:
     """(block, n, bucket, totals): for the n-grams of ``counts``, in their order, how often all blocks together have them. A stored table."""
 
     def join(table: pa.Table) -> pa.Table:
-        runs = [_unpacked_run(x) for x in table.column("grams").to_pylist()]
-        grams = np.concatenate(runs)
-        ends = np.cumsum([len(x) for x in runs])
-        n = np.concatenate([_unpacked(x, 4) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(grams)
-        grams = grams[order]
-        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-        totals = np.empty(len(grams), np.int64)
-        totals[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(grams))))
-        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "totals": pa.array([_packed(x, 8) for x in np.split(totals, ends[:-1])], pa.binary())})
+        totals = runs.summed([runs.unpacked_run(x) for x in table.column("grams").to_pylist()], [runs.unpacked(x, 4) for x in table.column("counts").to_pylist()])
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "bucket": table.column("bucket"), "totals": pa.array([runs.packed(x, 8) for x in totals], pa.binary())})
 
     return stored(counts.groupBy("bucket").applyInArrow(join, "block long, n int, bucket int, totals binary"))
 

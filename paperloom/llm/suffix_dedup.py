@@ -19,7 +19,7 @@ about n * n / 2^65 over n of them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
 from .common import byte_rows, drop_stored, in_arrow, ragged, stored
 
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
 SMALL = 1 << 20
+#: Bytes of texts with repeated phrases whose open places one hash range gets on average at most.
+BUCKET_BYTES = 16 << 20
 #: Neighbours in the array that are compared in one task.
 ADJACENT = 1 << 12
+#: Positions in an Arrow batch.
+POSITIONS_PER_BATCH = 50_000
 KEY = ["tid", "run", "path"]
 
 
@@ -61,20 +66,11 @@ def cuts(data: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     n = len(data)
     if n < window + _GRAM:
         return np.zeros(0, np.int64)
-    bits = np.uint64(max(int(n).bit_length(), 1))
-    low = np.uint64((1 << int(bits)) - 1)
-    least = _grams(data) & ~low | np.arange(n, dtype=np.uint64)
-    span = 1
-    while 2 * span <= window:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
     # windows whose last place still has its eight bytes in the row
     size = np.diff(bounds)
     starts = ragged(bounds[:-1], np.maximum(size - (window + _GRAM - 2), 0))
     chosen = np.zeros(n, bool)
-    chosen[(least[starts] & low).astype(np.int64)] = True
+    chosen[_leasts(data, window)[starts]] = True
     return np.flatnonzero(chosen)
 
 
@@ -149,10 +145,84 @@ def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> Data
     return local.join(F.broadcast(bases), "task").select(*names, *[(F.col(b) + F.col(f"base_{c}")).alias(b) for b, c in zip(before, counts, strict=True)])
 
 
-def _in_order(rows: DataFrame, value: str) -> DataFrame:
-    """(tid, run, path, values): ``value`` by string, ordered by ``j``."""
-    pairs = F.array_sort(F.collect_list(F.struct("j", F.col(value).alias("v"))))
-    return rows.groupBy(*KEY).agg(F.transform(pairs, lambda x: x["v"]).alias("values"))
+def _in_order(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(tid, run, path, <name>): the column ``value`` of (tid, run, path, j, value) by string, in the order of ``j``."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(*KEY, "j", value).repartition(n, "tid").sortWithinPartitions(*KEY, "j")
+    out = pa.schema([("tid", pa.int64()), ("run", pa.int32()), ("path", pa.int64()), (name, pa.list_(pa.int64()))])
+
+    def whole(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tid, run, path, values = parts
+        first = np.flatnonzero(np.concatenate(([True], (tid[1:] != tid[:-1]) | (run[1:] != run[:-1]) | (path[1:] != path[:-1]))))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(tid)), pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(run[first]), pa.array(path[first]), lists], schema=out)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the rows of a string that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy() for k in (0, 1, 2, 4)]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = len(same) - int(same.sum())
+            rest = [x[cut:] for x in now]
+            if cut:
+                yield whole([x[:cut] for x in now])
+        if rest is not None:
+            yield whole(rest)
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(POSITIONS_PER_BATCH))
+    return ordered.mapInArrow(collect, f"tid long, run int, path long, {name} array<long>")
+
+
+def _positions(batch: pa.RecordBatch, lists: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all positions of a batch of strings: the row, the place in it, the place of the row's end, and the values."""
+    bounds, values = _lists(batch.column(lists))
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - bounds[row], bounds[row + 1] if len(row) else bounds[:0], values
+
+
+def _ahead(values: np.ndarray, k: int, end: np.ndarray) -> np.ndarray:
+    """The value ``k`` places on in the same string; -1 beyond its end."""
+    at = np.arange(len(values)) + k
+    return np.where(at < end, values[np.minimum(at, len(values) - 1)], -1) if len(values) else values
+
+
+def _triples(strings: DataFrame) -> DataFrame:
+    """(tid, run, path, j, a, b, c): the symbols from each place at 1 or 2 modulo 3."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            row, j, end, values = _positions(batch, "values")
+            on = np.flatnonzero(j % 3)
+            out = {k: np.asarray(batch.column(k))[row[on]] for k in KEY} | {"j": j[on]}
+            return out | {c: _ahead(values, k, end)[on] for k, c in enumerate("abc")}
+
+        return step
+
+    return in_arrow(strings.select(*KEY, "values"), begin, "tid long, run int, path long, j int, a long, b long, c long", weigh=None)
+
+
+def _compared(strings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(tid, run, path, j, class, a, b, own, r1, r2): each place's class modulo 3, two symbols, and the samples' ranks at it, behind it and behind that; -1 where there is none."""
+    part = lambda k: ranked.where(F.col("path") % 2 == k - 1).select("tid", "run", F.floor(F.col("path") / 2).alias("path"), F.col("ranks").alias(f"ranks{k}"))
+    joined = strings.join(part(1), KEY, "left").join(part(2), KEY, "left")
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            row, j, end, values = _positions(batch, "values")
+            rank = np.full(len(values), -1, np.int64)
+            for k in (1, 2):
+                rank[j % 3 == k] = _lists(batch.column(f"ranks{k}"))[1]  # both in the order of the places
+            out = {k: np.asarray(batch.column(k))[row] for k in KEY} | {"j": j, "class": j % 3, "a": values, "b": _ahead(values, 1, end)}
+            return out | {c: _ahead(rank, k, end) for k, c in enumerate(("own", "r1", "r2"))}
+
+        return step
+
+    return in_arrow(joined.select(*KEY, "values", "ranks1", "ranks2"), begin, "tid long, run int, path long, j int, class int, a long, b long, own long, r1 long, r2 long", weigh=None)
 
 
 def _small_ranks(strings: DataFrame) -> DataFrame:
@@ -209,24 +279,15 @@ def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
         ranked = _prefix_counts(one.groupBy("a").agg(F.count("*").alias("n")), ["a"], ["n"])
         return one.join(ranked, "a").select(*KEY, F.array("before_n").alias("ranks"))
     # 1. name the triples at positions 1 and 2 modulo 3
-    symbol = lambda i: F.coalesce(F.get("values", i), F.lit(-1))
-    j = F.explode(F.sequence(F.lit(0), F.size("values") - 1)).alias("j")
-    every = strings.select(*KEY, "values", j)
-    triples = every.where("j % 3 <> 0").select(*KEY, "j", *[symbol(F.col("j") + i).alias(c) for i, c in enumerate("abc")])
+    triples = _triples(strings)
     named = _prefix_counts(triples.groupBy("a", "b", "c").agg(F.count("*").alias("n")), ["a", "b", "c"], ["n"])
     # 2. sort the strings of names: of each string the ones at 1 and at 2 modulo 3 are strings of their own
     samples = triples.join(named, ["a", "b", "c"])
     next_ = samples.select("tid", "run", (F.col("path") * 2 + F.col("j") % 3 - 1).alias("path"), F.floor(F.col("j") / 3).cast("int").alias("j"), "before_n")
-    below = stored(_in_order(next_, "before_n"))
+    below = stored(_in_order(next_, "before_n", "values"))
     ranked = suffix_ranks(below, small)
-    back = ranked.select("tid", "run", F.floor(F.col("path") / 2).alias("path"), F.posexplode("ranks").alias("at", "rank"), (F.col("path") % 2 + 1).alias("class"))
-    back = back.select(*KEY, (F.col("at") * 3 + F.col("class")).cast("int").alias("j"), "rank")
-    of_samples = F.map_from_entries(F.collect_list(F.struct("j", "rank")))
-    known = strings.join(back.groupBy(*KEY).agg(of_samples.alias("known")), KEY, "left")
     # 3. merge the rest: they compare with class 1 by a symbol and the rank behind it, with class 2 by two and the rank behind them
-    rank_at = lambda i: F.coalesce(F.element_at("known", i), F.lit(-1))
-    whole = known.select(*KEY, "values", "known", j)
-    rows = stored(whole.select(*KEY, "j", (F.col("j") % 3).alias("class"), symbol(F.col("j")).alias("a"), symbol(F.col("j") + 1).alias("b"), rank_at(F.col("j")).alias("own"), rank_at(F.col("j") + 1).alias("r1"), rank_at(F.col("j") + 2).alias("r2")))
+    rows = stored(_compared(strings, ranked))
     drop_stored(below)
     is_ = lambda c: F.sum((F.col("class") == c).cast("long"))
     first = _prefix_counts(rows.where("class <> 2").groupBy("a", "r1").agg(is_(0).alias("n0"), is_(1).alias("n1")), ["a", "r1"], ["n0", "n1"])
@@ -235,7 +296,7 @@ def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
     twos = rows.where("class = 2").join(second, ["a", "b", "r2"]).select(*KEY, "j", (F.col("own") + F.col("before_m0")).alias("rank"))
     rest = rows.where("class = 0").join(first, ["a", "r1"]).join(second, ["a", "b", "r2"])
     rest = rest.select(*KEY, "j", (F.col("before_n0") + F.col("before_n1") + F.col("before_m2")).alias("rank"))
-    out = stored(_in_order(ones.union(twos).union(rest), "rank").withColumnRenamed("values", "ranks"))
+    out = stored(_in_order(ones.union(twos).union(rest), "rank", "ranks"))
     drop_stored(rows)
     return out
 
@@ -303,7 +364,7 @@ def _heads(joined: DataFrame, enough: int) -> DataFrame:
     return in_arrow(joined.select("tid", "run", "starts", "sizes", "ranks"), begin, "tid long, run int, j int, start int, rank long, to_end int", weigh=None)
 
 
-def _prefixes(runs: DataFrame, wanted: DataFrame, enough: int) -> DataFrame:
+def _prefixes(strings: DataFrame, wanted: DataFrame, enough: int) -> DataFrame:
     """(rank, n, values, sizes): for the phrases ``wanted`` of each run, the phrases from there on until they have ``enough`` bytes."""
 
     def begin():
@@ -323,7 +384,7 @@ def _prefixes(runs: DataFrame, wanted: DataFrame, enough: int) -> DataFrame:
         return step
 
     asked = wanted.groupBy("tid", "run").agg(F.collect_list(F.struct("j", "rank", "n")).alias("asked"))
-    joined = runs.select("tid", "run", "values", "sizes").join(asked, ["tid", "run"])
+    joined = strings.select("tid", "run", "values", "sizes").join(asked, ["tid", "run"])
     return in_arrow(joined.select("values", "sizes", "asked"), begin, "rank long, n long, values array<long>, sizes array<int>", weigh=None)
 
 
@@ -348,14 +409,14 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"rank": np.concatenate((rank[pair[some]], rank[pair[some] + 1])), "shared": pa.array(np.tile(shared[some], 2), pa.int32())})
 
 
-def _reach(runs: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
+def _reach(strings: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
     """(tid, start, reach): for each phrase the bytes of whole phrases from its start that occur elsewhere too; ``enough`` at most."""
-    heads = stored(_heads(runs.join(ranks, KEY), enough))
+    heads = stored(_heads(strings.join(ranks, KEY), enough))
     # one phrase stands for all with its rank: their suffixes are equal
     classes = stored(heads.groupBy("rank").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("tid", "run", "j")]))
     at = lambda c: F.floor(c / ADJACENT)
     # a class goes where it stands, and where its successor stands
-    dealt = _prefixes(runs, classes, enough).select("*", F.explode(F.array_distinct(F.array(at(F.col("rank")), at(F.col("rank") + F.col("n"))))).alias("bucket"))
+    dealt = _prefixes(strings, classes, enough).select("*", F.explode(F.array_distinct(F.array(at(F.col("rank")), at(F.col("rank") + F.col("n"))))).alias("bucket"))
     pairs = dealt.groupBy("bucket").applyInArrow(_compare, "rank long, shared int").groupBy("rank").agg(F.max("shared").alias("shared"))
     known = classes.select("rank", "n").join(pairs, "rank", "left")
     out = heads.select("tid", "start", "rank", "to_end").join(known, "rank")
@@ -363,18 +424,38 @@ def _reach(runs: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
     return out.select("tid", "start", reach.alias("reach")).where("reach > 0")
 
 
-def _open_places(starts: np.ndarray, reach: np.ndarray, n: int, length: int, window: int) -> np.ndarray:
-    """Places from which ``length`` bytes may repeat and which the phrases don't settle."""
-    maybe, sure = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    need = np.maximum(length - window - _GRAM - reach, 0)
-    low, high = np.maximum(starts - window + 1, 0), np.minimum(starts - need, n - length)
-    ok = low <= high
-    np.add.at(maybe, low[ok], 1)
-    np.add.at(maybe, high[ok] + 1, -1)
+def _leasts(data: np.ndarray, window: int) -> np.ndarray:
+    """For each window of places the one with the least hash, the leftmost of equal ones."""
+    n = len(data)
+    bits = max(int(n).bit_length(), 1)
+    low = np.uint64((1 << bits) - 1)
+    least = _grams(data) & ~low | np.arange(n, dtype=np.uint64)
+    span = 1
+    while 2 * span <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < window:
+        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
+    return (least & low).astype(np.int64)
+
+
+def _open_places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length: int, window: int) -> np.ndarray:
+    """Places from which ``length`` bytes may repeat and which the phrases don't settle.
+
+    Where they repeat, the least place of their first window and that of their last are cuts of
+    either occurrence, and the phrases between these repeat.
+    """
+    n = len(data)
+    least = _leasts(data, window)
+    known = np.zeros(n + 1, np.int64)
+    known[starts] = reach
+    first = least[: n - length + 1]
+    last = least[length - _GRAM - window + 1 :][: n - length + 1]
+    sure = np.zeros(n + 1, np.int64)
     ok = reach >= length
     np.add.at(sure, starts[ok], 1)
     np.add.at(sure, starts[ok] + reach[ok] - length + 1, -1)
-    return np.flatnonzero((np.cumsum(maybe) > 0) & (np.cumsum(sure) == 0))[: n + 1]
+    return np.flatnonzero((known[first] >= last - first) & (known[first] > 0) & (np.cumsum(sure)[: n - length + 1] == 0))
 
 
 def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -407,17 +488,19 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     behind = stored(_phrases_behind(texts, _live(texts), length))
     again = behind.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(1).cast("long").alias("n"))
     numbered = _prefix_counts(again, ["name"], ["n"]).select("name", F.col("before_n").alias("number"))
-    runs = stored(_runs(behind.join(numbered, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")))
+    strings = stored(_runs(behind.join(numbered, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")))
     drop_stored(behind)
-    ranks = suffix_ranks(runs.select(*KEY, "values"), small)
-    reach = stored(_reach(runs, ranks, length + window).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("start", "reach"))).alias("reach")))
-    drop_stored(runs)
-    wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "reach")
-    open_ = stored(_with_texts(docs, wanted))
-    hashes = stored(in_arrow(open_, lambda: _hash_step(length, window), "tid long, place int, h long"))
-    twice = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = hashes.join(twice, "h").groupBy("tid").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    cut = in_arrow(open_.where("copies = 1").join(places, "tid", "left"), lambda: _cut_step(length), "text_hash binary, n_removed long, n_spans int, kept_sha256 string, edges array<int>")
+    ranks = suffix_ranks(strings.select(*KEY, "values"), small)
+    reach = stored(_reach(strings, ranks, length + window).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("start", "reach"))).alias("reach")))
+    drop_stored(strings)
+    wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "n_bytes", "reach")
+    size = wanted.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    blocks = stored(_blocks(_with_texts(docs, wanted)))
+    drop_stored(reach)
+    answers = _answers(_dealt(blocks, buckets, length, window))
+    grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
+    cut = in_arrow(blocks.join(grouped, "block", "left"), lambda: _cut_step(length, window), "text_hash binary, n_removed long, n_spans int, kept_sha256 string, edges array<int>", weigh=None)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     whole = texts.where("copies > 1").select("text_hash", F.col("n_bytes").alias("n_removed"), F.lit(1).alias("n_spans"), nothing.alias("kept_sha256"), F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("edges"))
     return held.select("doc_id", "text_hash", "n_bytes", "sha256"), cut.union(whole)
@@ -444,42 +527,77 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.drop("_hash").dropDuplicates(["tid"])
 
 
-def _pairs(batch: pa.RecordBatch):
-    data, bounds = byte_rows(batch.column("text"))
-    lists = batch.column("reach")
-    at = np.asarray(lists.offsets)
-    flat = lists.values
-    starts, reach = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("reach").to_numpy(zero_copy_only=False).astype(np.int64)
-    for k in range(batch.num_rows):
-        yield k, data[bounds[k] : bounds[k + 1]], starts[at[k] : at[k + 1]], reach[at[k] : at[k + 1]]
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, texts): a row for some MB of texts, with what is known of each."""
+    kind = "array<struct<text_hash:binary,copies:long,text:string,starts:array<int>,reach:array<int>>>"
 
+    def begin():
+        task, made = TaskContext.get().partitionId(), 0
 
-def _hash_step(length: int, window: int) -> Callable:
-    def step(batch: pa.RecordBatch) -> dict:
-        tids, out = batch.column("tid").to_pylist(), {"tid": [], "place": [], "h": []}
-        for k, data, starts, reach in _pairs(batch):
-            at = _open_places(starts, reach, len(data), length, window)
-            out["tid"].append(np.full(len(at), tids[k]))
-            out["place"].append(at)
-            out["h"].append(_window_hashes(data, at, length).view(np.int64))
-        return {k: np.concatenate(v) for k, v in out.items()}
+        def step(batch: pa.RecordBatch) -> dict:
+            nonlocal made
+            made += 1
+            return {"block": [task << 32 | made], "texts": [batch.to_pylist()]}
 
-    return step
+        return step
+
+    flat = rows.select("text_hash", "copies", "text", "reach.start", "reach.reach").toDF("text_hash", "copies", "text", "starts", "reach")
+    return in_arrow(flat, begin, f"block long, texts {kind}")
 
 
-def _cut_step(length: int) -> Callable:
+def _places_of(texts: list[dict], length: int, window: int):
+    """For each text of a block: its bytes, starts, reaches, open places and their hashes."""
+    for t in texts:
+        data = np.frombuffer(t["text"].encode(), np.uint8)
+        starts, reach = np.array(t["starts"], np.int64), np.array(t["reach"], np.int64)
+        at = _open_places(data, starts, reach, length, window)
+        yield t, data, starts, reach, at, _window_hashes(data, at, length)
+
+
+def _dealt(blocks: DataFrame, buckets: int, length: int, window: int) -> DataFrame:
+    """(bucket, block, hashes, counts): the distinct hashes of a block's open places in a hash range, and how often it has them."""
+    limits = runs.edges(buckets)
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = {"bucket": [], "block": [], "hashes": [], "counts": []}
+            for row in batch.to_pylist():
+                found, counts = np.unique(np.concatenate([x[-1] for x in _places_of(row["texts"], length, window)]), return_counts=True)
+                for bucket, a, b in runs.ranges(found, limits):
+                    for k, x in (("bucket", bucket), ("block", row["block"]), ("hashes", runs.packed_run(found[a:b])), ("counts", runs.packed(counts[a:b], 4))):
+                        out[k].append(x)
+            return out
+
+        return step
+
+    return in_arrow(blocks, begin, "bucket int, block long, hashes binary, counts binary", weigh=None)
+
+
+def _answers(dealt: DataFrame) -> DataFrame:
+    """(block, bucket, again): for the hashes of ``dealt``, in their order, a byte that says whether they occur again."""
+
+    def join(table: pa.Table) -> pa.Table:
+        totals = runs.summed([runs.unpacked_run(x) for x in table.column("hashes").to_pylist()], [runs.unpacked(x, 4) for x in table.column("counts").to_pylist()])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "again": pa.array([runs.packed(x > 1, 1) for x in totals], pa.binary())})
+
+    return stored(dealt.groupBy("bucket").applyInArrow(join, "block long, bucket int, again binary"))
+
+
+def _cut_step(length: int, window: int) -> Callable:
     def step(batch: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("text_hash", "n_removed", "n_spans", "kept_sha256", "edges")}
-        hashes, places = batch.column("text_hash").to_pylist(), batch.column("places").to_pylist()
-        for k, data, starts, reach in _pairs(batch):
-            edges = _removed(len(data), starts, reach, np.array(places[k] or [], np.int64), length)
-            if not len(edges):
-                continue
-            out["text_hash"].append(hashes[k])
-            out["n_removed"].append(int((edges[1::2] - edges[::2]).sum()))
-            out["n_spans"].append(len(edges) // 2)
-            out["kept_sha256"].append(hashlib.sha256(_kept(data.tobytes(), edges.tolist())).hexdigest())
-            out["edges"].append(edges)
+        for row in batch.to_pylist():
+            texts = list(_places_of(row["texts"], length, window))
+            found = np.unique(np.concatenate([x[-1] for x in texts]))
+            again = np.concatenate([np.zeros(0, np.uint64), *[runs.unpacked(x["again"], 1) for x in row["answers"] or []]]) > 0
+            for t, data, starts, reach, at, hashes in texts:
+                if t["copies"] > 1:
+                    continue
+                edges = _removed(len(data), starts, reach, at[again[np.searchsorted(found, hashes)]], length)
+                if len(edges):
+                    kept = hashlib.sha256(_kept(data.tobytes(), edges.tolist())).hexdigest()
+                    for k, x in (("text_hash", t["text_hash"]), ("n_removed", int((edges[1::2] - edges[::2]).sum())), ("n_spans", len(edges) // 2), ("kept_sha256", kept), ("edges", edges)):
+                        out[k].append(x)
         return out
 
     return step
