@@ -7,7 +7,6 @@ lowest-ranked pair are merged, from the left. Words without a pair left leave th
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -18,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_arrow, ragged
+from .common import in_arrow, ragged, worker_held
 from .tokens import StretchEncoder, byte_letters
 
 #: The pre-tokenizer's pattern of byte-level vocabularies (fixed by them).
@@ -160,9 +159,8 @@ class Bpe:
         return [s for s, out in zip(symbols, gone, strict=True) if not out]
 
 
-@functools.cache
 def worker_bpe(path: str) -> Bpe:
-    return Bpe(path)
+    return worker_held(("numpy", path), lambda: Bpe(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

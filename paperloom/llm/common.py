@@ -52,6 +52,29 @@ def drop_stored(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a Python worker keeps from task to task, by name, and the names that its present task has asked for.
+_HELD: dict = {}
+_ASKED: set = set()
+
+
+def worker_held(name, make: Callable):
+    """``make()``, made once in a Python worker; it goes when the worker turns to a task that doesn't ask for it."""
+    _ASKED.add(name)
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def new_task(begin: Callable):
+    """``begin()``; what it doesn't ask for is let go, so that workers don't keep memory for other steps."""
+    _ASKED.clear()
+    out = begin()
+    for name in [*_HELD]:
+        if name not in _ASKED:
+            del _HELD[name]
+    return out
+
+
 def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]], schema, weigh: str | None = "text", step_bytes: int = STEP_BYTES) -> DataFrame:
     """``mapInArrow``: ``begin()`` gives each task's step, which gets batches of about STEP_BYTES of column ``weigh`` and returns columns by name."""
     spark = df.sparkSession
@@ -59,7 +82,7 @@ def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = begin()
+        step = new_task(begin)
         for batch in batches:
             for part in slices(batch, weigh, step_bytes):
                 columns = step(part)

@@ -9,17 +9,17 @@ token's string, are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import gc
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from .common import ragged
+from .common import ragged, worker_held
 
 #: Stretches that a worker remembers; beyond them it starts anew (a matter of speed and memory, not of results).
 REMEMBERED = 800_000
@@ -35,15 +35,24 @@ def _quoted(text: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in text)
 
 
-class _Known(dict):
-    """Stretch to number; a new one gets the next number and waits to be encoded."""
+class _Book:
+    """Numbers given so far, and the stretches that wait to be encoded, in their order."""
 
     def __init__(self):
-        self.waiting: list[str] = []
+        self.n, self.waiting = 0, []
+
+
+class _Known(dict):
+    """Stretch, without ``prefix``, to number; a new one gets the next number and waits."""
+
+    def __init__(self, prefix: str, book: _Book):
+        self.prefix, self.book = prefix, book
 
     def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.waiting.append(key)
+        book = self.book
+        n = self[key] = book.n
+        book.n = n + 1
+        book.waiting.append(self.prefix + key)
         return n
 
 
@@ -61,53 +70,52 @@ class StretchEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Known()
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
+        self.book = _Book()
+        self.bare, self.spaced = _Known("", self.book), _Known(" ", self.book)
+        self.starts = np.zeros(1 << 12, np.int32)
+        self.lengths = np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.int32)
-        self.uses = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int32)
         self.filled = self.chars = 0
 
     def _thin(self) -> None:
         """Keep short stretches that came more than twice, unless they are half of all."""
-        uses = self.uses[: len(self.known)]
-        stay = np.flatnonzero(uses > 2)
-        old = list(self.known)
-        words = [old[k] for k in stay if len(old[k]) <= 64]
-        starts, lengths, ids = self.starts, self.lengths, self.ids
-        kept = np.array([k for k in stay if len(old[k]) <= 64], np.int64)
+        uses, starts, lengths, ids = self.uses, self.starts, self.lengths, self.ids
+        old = [[(w, n) for w, n in known.items() if uses[n] > 2 and len(w) <= 64] for known in (self.bare, self.spaced)]
         self.forget()
-        if 2 * len(words) > REMEMBERED:
+        if 2 * sum(map(len, old)) > REMEMBERED:
             return
-        for w in words:
-            self.known[w]
-        self.known.waiting = []
-        n, size = len(words), lengths[kept]
+        for known, kept in zip((self.bare, self.spaced), old, strict=True):
+            for w, _ in kept:
+                known[w]
+        self.book.waiting = []
+        kept = np.array([n for x in old for _, n in x], np.int64)
+        size = lengths[kept]
         self.ids = ids[ragged(starts[kept], size)]
-        self.filled, self.chars = len(self.ids), sum(map(len, words))
-        self.starts, self.lengths, self.uses = np.cumsum(size) - size, size, np.zeros(n, np.int64)
+        self.filled, self.chars = len(self.ids), sum(len(w) for x in old for w, _ in x)
+        self.starts, self.lengths, self.uses = (np.cumsum(size) - size).astype(np.int32), size, np.zeros(len(kept), np.int32)
 
     def _learn(self) -> None:
-        new, self.known.waiting = self.known.waiting, []
+        new, self.book.waiting = self.book.waiting, []
         if not new:
             return
         lengths, ids = self.encode_each(new)
         self.chars += sum(map(len, new))
-        n, first = len(self.known), len(self.known) - len(new)
+        n, first = self.book.n, self.book.n - len(new)
         total = len(ids)
         if n > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * n)
-            self.lengths = np.resize(self.lengths, 2 * n)
-            self.uses = np.concatenate((self.uses, np.zeros(2 * n - len(self.uses), np.int64)))
+            self.starts = np.resize(self.starts, 3 * n // 2)
+            self.lengths = np.resize(self.lengths, 3 * n // 2)
+            self.uses = np.concatenate((self.uses, np.zeros(3 * n // 2 - len(self.uses), np.int32)))
         if self.filled + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.filled + total))
+            self.ids = np.resize(self.ids, 3 * (self.filled + total) // 2)
         self.lengths[first:n] = lengths
         self.starts[first:n] = self.filled + np.cumsum(lengths) - lengths
         self.ids[self.filled : self.filled + total] = ids
         self.filled += total
 
     def encode(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if self.book.n > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._thin()
         # the many small lists hold no cycles, and the collector would go through them again and again
         on = gc.isenabled()
@@ -127,7 +135,7 @@ class StretchEncoder:
         others: list[int] = []
         for k in odd.tolist():
             parts = self._parts(column[k].as_py())
-            others += map(self.known.__getitem__, parts)
+            others += [self.spaced[x[1:]] if x[:1] == " " else self.bare[x] for x in parts]
             counts[k] = len(parts)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         if len(odd):
@@ -137,7 +145,7 @@ class StretchEncoder:
         else:
             at = numbers
         self._learn()
-        self.uses[: len(self.known)] += np.bincount(at, minlength=len(self.known))
+        self.uses[: self.book.n] += np.bincount(at, minlength=self.book.n).astype(np.int32)
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
@@ -152,20 +160,21 @@ class StretchEncoder:
         words = lists.flatten().dictionary_encode()
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(len(column), np.int64)
-        index, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+        index, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         bounds = np.asarray(lists.offsets).astype(np.int64)
         bounds -= bounds[0]
         end = names.index("\n") if "\n" in names else -1
         bare = index == end  # a line end, and what follows one or begins a text, has no space before it
         bare[1:] |= index[:-1] == end
         bare[bounds[:-1]] = True
-        known = self.known
+        used = np.zeros(len(names), bool)
+        used[index[~bare]] = True
         spaced = np.zeros(len(names), np.int64)
-        used = np.unique(index[~bare])
-        spaced[used] = [known[" " + names[k]] for k in used.tolist()]
+        get = self.spaced.__getitem__
+        spaced[used] = list(map(get, names)) if used.all() else [get(names[k]) for k in np.flatnonzero(used).tolist()]
         numbers = spaced[index]
         first, back = np.unique(index[bare], return_inverse=True)
-        numbers[bare] = np.array([known[names[k]] for k in first.tolist()], np.int64)[back]
+        numbers[bare] = np.array([self.bare[names[k]] for k in first.tolist()], np.int64)[back]
         return numbers, np.diff(bounds)
 
     def _parts(self, text: str) -> list[str]:
@@ -182,15 +191,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_STOPS = ".,;:!?"
+# A word of letters that all Unicode versions know as such, and what may follow it: marks but the apostrophe, which begins contractions.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def library_encoder(path: str) -> StretchEncoder:
     """Ids as the tokenizers library has them, without special tokens added, truncation or padding.
 
-    A stretch of letters, or of letters and one stop, goes to the library's model at once, as
-    the pre-tokenizer would only hand it on; all others pass through the whole tokenizer.
+    A stretch of letters, or of letters and marks behind them, goes to the library's model at
+    once, in the one or two parts that the pre-tokenizer would hand on; all others pass
+    through the whole tokenizer.
     """
     from tokenizers import Tokenizer
 
@@ -198,32 +208,43 @@ def library_encoder(path: str) -> StretchEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    model, letters = tokenizer.model, byte_letters()
-    stops = {x: [y.id for y in model.tokenize(x)] for x in _STOPS}
-    is_word = _LETTERS.fullmatch
+    tokenize, letters = tokenizer.model.tokenize, byte_letters()
+    space = letters[32]
+    marks: dict[str, list[int]] = {}
 
     def encode_each(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, rest = [None] * len(new), []
+        found: list[list[int] | None] = []
+        rest = []
         for k, x in enumerate(new):
-            end = stops.get(x[-1:])
-            word = x if end is None else x[:-1]
-            if is_word(word):
-                ids = [y.id for y in model.tokenize(word.encode().decode("latin-1").translate(letters))]
-                out[k] = ids if end is None else ids + end
-            else:
+            match = _WORD.fullmatch(x)
+            if match is None:
                 rest.append(k)
-        for k, found in zip(rest, tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = found.ids
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return lengths, np.fromiter((i for x in out for i in x), np.int32, int(lengths.sum()))
+                found.append(None)
+                continue
+            word, tail = match.groups()
+            if word.isascii():
+                word = space + word[1:] if word[0] == " " else word
+            else:
+                word = word.encode().decode("latin-1").translate(letters)
+            ids = [y.id for y in tokenize(word)]
+            if tail:
+                if tail not in marks:
+                    if len(marks) > 10_000:
+                        marks.clear()
+                    marks[tail] = [y.id for y in tokenize(tail)]
+                ids += marks[tail]
+            found.append(ids)
+        for k, x in zip(rest, tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = x.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
 
     return StretchEncoder(encode_each, special)
 
 
-@functools.cache
 def worker_encoder(path: str) -> StretchEncoder:
-    """One encoder for each Python worker and vocabulary; what it remembers serves later tasks of the worker too."""
-    return library_encoder(path)
+    """One encoder for each Python worker and vocabulary; what it remembers serves the worker's next tasks too."""
+    return worker_held(("library", path), lambda: library_encoder(path))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
