@@ -10,7 +10,8 @@ remaining suffixes are merged with them. Neighbours in the array are then compar
 at each phrase how far it repeats.
 
 Phrases settle all but the two ends of a passage, less than a window each. Of the few positions
-left there, hashes of the whole length are counted, which makes the result exact.
+left there, and of those that may equal one of them elsewhere, hashes of the whole length are
+counted, which makes the result exact.
 
 Names and hashes are of 64 bits: two different passages are taken for equal with a chance of
 about n * n / 2^65 over n of them.
@@ -94,7 +95,7 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
             names[inner] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[inner].tolist(), at[inner + 1].tolist(), strict=True)], np.uint64).view(np.int64)
             anchors = np.zeros(len(at), np.int64)
             long_ = np.flatnonzero(at + ahead <= bounds[row + 1])
-            anchors[long_] = np.array([xxhash.xxh3_64_intdigest(raw[a : a + ahead], 1) for a in at[long_].tolist()], np.uint64).view(np.int64)
+            anchors[long_] = _anchors(raw, at[long_], ahead)
             counts = np.diff(first)
             texts = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             named = np.ones(len(at), bool)
@@ -439,8 +440,8 @@ def _leasts(data: np.ndarray, window: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def _open_places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length: int, window: int) -> np.ndarray:
-    """Places from which ``length`` bytes may repeat and which the phrases don't settle.
+def _places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places from which ``length`` bytes may repeat, the first cut of each, and whether the phrases settle that they do.
 
     Where they repeat, the least place of their first window and that of their last are cuts of
     either occurrence, and the phrases between these repeat.
@@ -455,7 +456,12 @@ def _open_places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length
     ok = reach >= length
     np.add.at(sure, starts[ok], 1)
     np.add.at(sure, starts[ok] + reach[ok] - length + 1, -1)
-    return np.flatnonzero((known[first] >= last - first) & (known[first] > 0) & (np.cumsum(sure)[: n - length + 1] == 0))
+    at = np.flatnonzero((known[first] >= last - first) & (known[first] > 0))
+    return at, first[at], np.cumsum(sure)[at] > 0
+
+
+def _anchors(raw: bytes, at: np.ndarray, ahead: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(raw[a : a + ahead], 1) for a in at.tolist()], np.uint64).view(np.int64)
 
 
 def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -496,8 +502,10 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "n_bytes", "reach")
     size = wanted.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    blocks = stored(_blocks(_with_texts(docs, wanted)))
+    texts_of = stored(_blocks(_with_texts(docs, wanted)))
     drop_stored(reach)
+    blocks = stored(_with_masks(texts_of, length, window))
+    drop_stored(texts_of)
     answers = _answers(_dealt(blocks, buckets, length, window))
     grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
     cut = in_arrow(blocks.join(grouped, "block", "left"), lambda: _cut_step(length, window), "text_hash binary, n_removed long, n_spans int, kept_sha256 string, edges array<int>", weigh=None)
@@ -545,12 +553,72 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return in_arrow(flat, begin, f"block long, texts {kind}")
 
 
-def _places_of(texts: list[dict], length: int, window: int):
-    """For each text of a block: its bytes, starts, reaches, open places and their hashes."""
-    for t in texts:
-        data = np.frombuffer(t["text"].encode(), np.uint8)
-        starts, reach = np.array(t["starts"], np.int64), np.array(t["reach"], np.int64)
-        at = _open_places(data, starts, reach, length, window)
+def _anchored(t: dict, length: int, window: int):
+    """A text's bytes, starts and reaches; its places, the anchor of each, how far before its cut it is, and whether it is settled."""
+    data = np.frombuffer(t["text"].encode(), np.uint8)
+    starts, reach = np.array(t["starts"], np.int64), np.array(t["reach"], np.int64)
+    at, first, sure = _places(data, starts, reach, length, window)
+    cut, back = np.unique(first, return_inverse=True)
+    return data, starts, reach, at, _anchors(data.tobytes(), cut, length - window + 1)[back], first - at, sure
+
+
+def _masks(blocks: DataFrame, length: int, window: int) -> DataFrame:
+    """(anchor, m0, m1, ...): by anchor the distances, a bit each, at which some text has an unsettled place."""
+    n = -(-window // 64)
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            anchors, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in batch.to_pylist():
+                for t in row["texts"]:
+                    _, _, _, _, anchor, distance, sure = _anchored(t, length, window)
+                    anchors.append(anchor[~sure])
+                    bits.append(distance[~sure])
+            found, back = np.unique(np.concatenate(anchors), return_inverse=True)
+            bit = np.concatenate(bits)
+            mask = np.zeros((len(found), n), np.uint64)
+            np.bitwise_or.at(mask, (back, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+            return {"anchor": found} | {f"m{k}": mask[:, k].copy().view(np.int64) for k in range(n)}
+
+        return step
+
+    columns = [f"m{k}" for k in range(n)]
+    found = in_arrow(blocks, begin, "anchor long, " + ", ".join(f"{c} long" for c in columns), weigh=None)
+    return found.groupBy("anchor").agg(*[F.bit_or(c).alias(c) for c in columns])
+
+
+def _with_masks(blocks: DataFrame, length: int, window: int) -> DataFrame:
+    """``blocks`` with the masks of the anchors that each has."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = {"block": [np.zeros(0, np.int64)], "anchor": [np.zeros(0, np.int64)]}
+            for row in batch.to_pylist():
+                anchor = np.unique(np.concatenate([_anchored(t, length, window)[4] for t in row["texts"]]))
+                out["block"].append(np.full(len(anchor), row["block"]))
+                out["anchor"].append(anchor)
+            return {k: np.concatenate(v) for k, v in out.items()}
+
+        return step
+
+    masks = _masks(blocks, length, window)
+    there = in_arrow(blocks, begin, "block long, anchor long", weigh=None).join(masks, "anchor")
+    grouped = there.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("anchor", F.array(*[c for c in masks.columns if c != "anchor"]).alias("mask")))).alias("masks"))
+    return blocks.join(grouped, "block", "left")
+
+
+def _places_of(row: dict, length: int, window: int):
+    """For each text of a block: its bytes, starts and reaches, and the places, with their hashes, that are unsettled in some text with the same anchor."""
+    anchors = np.array([x["anchor"] for x in row["masks"] or []], np.int64)
+    masks = np.array([x["mask"] for x in row["masks"] or []], np.int64).view(np.uint64)
+    for t in row["texts"]:
+        data, starts, reach, at, anchor, distance, _ = _anchored(t, length, window)
+        if len(anchors) and len(at):
+            k = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+            asked = masks[k, distance // 64] >> (distance % 64).astype(np.uint64) & np.uint64(1)
+            at = at[(anchors[k] == anchor) & (asked > 0)]
+        else:
+            at = at[:0]
         yield t, data, starts, reach, at, _window_hashes(data, at, length)
 
 
@@ -562,7 +630,7 @@ def _dealt(blocks: DataFrame, buckets: int, length: int, window: int) -> DataFra
         def step(batch: pa.RecordBatch) -> dict:
             out = {"bucket": [], "block": [], "hashes": [], "counts": []}
             for row in batch.to_pylist():
-                found, counts = np.unique(np.concatenate([x[-1] for x in _places_of(row["texts"], length, window)]), return_counts=True)
+                found, counts = np.unique(np.concatenate([x[-1] for x in _places_of(row, length, window)]), return_counts=True)
                 for bucket, a, b in runs.ranges(found, limits):
                     for k, x in (("bucket", bucket), ("block", row["block"]), ("hashes", runs.packed_run(found[a:b])), ("counts", runs.packed(counts[a:b], 4))):
                         out[k].append(x)
@@ -587,7 +655,7 @@ def _cut_step(length: int, window: int) -> Callable:
     def step(batch: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("text_hash", "n_removed", "n_spans", "kept_sha256", "edges")}
         for row in batch.to_pylist():
-            texts = list(_places_of(row["texts"], length, window))
+            texts = list(_places_of(row, length, window))
             found = np.unique(np.concatenate([x[-1] for x in texts]))
             again = np.concatenate([np.zeros(0, np.uint64), *[runs.unpacked(x["again"], 1) for x in row["answers"] or []]]) > 0
             for t, data, starts, reach, at, hashes in texts:
