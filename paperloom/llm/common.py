@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch and bytes of text that a numpy step takes at once; both bound a Python worker's memory.
-ROWS_PER_BATCH = 1000
+#: Rows and bytes of an Arrow batch, and bytes of text that a numpy step takes at once; they bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 20_000, 6 << 20
 STEP_BYTES = 4 << 20
 
 
@@ -75,10 +75,16 @@ def new_task(begin: Callable):
     return out
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most; a larger row is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def in_arrow(df: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch], dict]], schema, weigh: str | None = "text", step_bytes: int = STEP_BYTES) -> DataFrame:
     """``mapInArrow``: ``begin()`` gives each task's step, which gets batches of about STEP_BYTES of column ``weigh`` and returns columns by name."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bounded_batches(spark)
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, stored
+from .common import bounded_batches, in_arrow, stored
 from .graph import components
 
 SEED = 42
@@ -151,7 +151,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    bounded_batches(spark)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 

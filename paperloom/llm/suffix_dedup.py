@@ -28,20 +28,19 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runs
-from .common import byte_rows, drop_stored, in_arrow, ragged, stored
+from .common import bounded_batches, byte_rows, drop_stored, in_arrow, ragged, stored
 
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
-SMALL = 1 << 20
+SMALL = 1 << 18
 #: Bytes of texts with repeated phrases whose open places one hash range gets on average at most.
 BUCKET_BYTES = 16 << 20
 #: Neighbours in the array that are compared in one task.
 ADJACENT = 1 << 12
-#: Positions in an Arrow batch.
-POSITIONS_PER_BATCH = 50_000
 KEY = ["tid", "run", "path"]
 
 
@@ -146,36 +145,58 @@ def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> Data
     return local.join(F.broadcast(bases), "task").select(*names, *[(F.col(b) + F.col(f"base_{c}")).alias(b) for b, c in zip(before, counts, strict=True)])
 
 
-def _in_order(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """(tid, run, path, <name>): the column ``value`` of (tid, run, path, j, value) by string, in the order of ``j``."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select(*KEY, "j", value).repartition(n, "tid").sortWithinPartitions(*KEY, "j")
-    out = pa.schema([("tid", pa.int64()), ("run", pa.int32()), ("path", pa.int64()), (name, pa.list_(pa.int64()))])
+def _grouped(rows: DataFrame, keys: list[str], schema: str, whole: Callable[[dict], dict]) -> DataFrame:
+    """``rows``, ordered within their first key's partition, handed to ``whole`` as columns, never with a part of a key's rows: it returns columns by name."""
+    names, out = rows.columns, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.sparkSession.createDataFrame([], schema).schema])
 
-    def whole(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tid, run, path, values = parts
-        first = np.flatnonzero(np.concatenate(([True], (tid[1:] != tid[:-1]) | (run[1:] != run[:-1]) | (path[1:] != path[:-1]))))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(tid)), pa.int32()), pa.array(values))
-        return pa.RecordBatch.from_arrays([pa.array(tid[first]), pa.array(run[first]), pa.array(path[first]), lists], schema=out)
+    def batch_of(parts: dict) -> pa.RecordBatch:
+        found = whole(parts)
+        return pa.RecordBatch.from_arrays([x if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the rows of a string that may go on
+        rest = None  # the rows of a key that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(k).to_numpy() for k in (0, 1, 2, 4)]
+            now = {k: batch.column(k).to_numpy() for k in names}
             if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+                now = {k: np.concatenate((rest[k], x)) for k, x in now.items()}
+            same = np.logical_and.reduce([now[k] == now[k][-1] for k in keys])
             cut = len(same) - int(same.sum())
-            rest = [x[cut:] for x in now]
+            rest = {k: x[cut:] for k, x in now.items()}
             if cut:
-                yield whole([x[:cut] for x in now])
+                yield batch_of({k: x[:cut] for k, x in now.items()})
         if rest is not None:
-            yield whole(rest)
+            yield batch_of(rest)
+
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(collect, schema)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where consecutive rows differ from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _as_lists(first: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values))
+
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(POSITIONS_PER_BATCH))
-    return ordered.mapInArrow(collect, f"tid long, run int, path long, {name} array<long>")
+def _by_text(rows: DataFrame, *order: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "tid").sortWithinPartitions(*order)
+
+
+def _in_order(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(tid, run, path, <name>): the column ``value`` of (tid, run, path, j, value) by string, in the order of ``j``."""
+
+    def whole(x: dict) -> dict:
+        first = _firsts(*(x[k] for k in KEY))
+        return {k: x[k][first] for k in KEY} | {name: _as_lists(first, x[value])}
+
+    return _grouped(_by_text(rows.select(*KEY, "j", value), *KEY, "j"), KEY, f"tid long, run int, path long, {name} array<long>", whole)
 
 
 def _positions(batch: pa.RecordBatch, lists: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -335,10 +356,14 @@ def _phrases_behind(texts: DataFrame, live: DataFrame, length: int) -> DataFrame
 
 def _runs(repeated: DataFrame) -> DataFrame:
     """(tid, run, path, values, starts, sizes) of (tid, i, name, start, size): stretches of consecutive phrases; run is the first one's number."""
-    after = F.row_number().over(Window.partitionBy("tid").orderBy("i"))
-    rows = repeated.withColumn("group", F.col("i") - after).groupBy("tid", "group").agg(F.array_sort(F.collect_list(F.struct("i", "name", "start", "size"))).alias("x"))
-    part = lambda k: F.transform("x", lambda y: y[k])
-    return rows.select("tid", F.col("x")[0]["i"].alias("run"), F.lit(0).cast("long").alias("path"), part("name").alias("values"), part("start").alias("starts"), part("size").alias("sizes"))
+
+    def whole(x: dict) -> dict:
+        first = _firsts(x["tid"], x["i"] - np.arange(len(x["i"])))
+        out = {"tid": x["tid"][first], "run": x["i"][first], "path": np.zeros(len(first), np.int64)}
+        return out | {"values": _as_lists(first, x["name"]), "starts": _as_lists(first, x["start"]), "sizes": _as_lists(first, x["size"])}
+
+    rows = _by_text(repeated.select("tid", "i", "name", "start", "size"), "tid", "i")
+    return _grouped(rows, ["tid"], "tid long, run int, path long, values array<long>, starts array<int>, sizes array<int>", whole)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -530,9 +555,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` with each text once."""
-    found = _hashed(docs.select("text")).join(wanted, F.col("_hash") == F.col("text_hash"))
-    return found.drop("_hash").dropDuplicates(["tid"])
+    """``wanted`` with its texts. Copies of one come as often as there are: all their passages occur again, as that would have it."""
+    return _hashed(docs.select("text")).join(wanted, F.col("_hash") == F.col("text_hash")).drop("_hash")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_BATCH, in_arrow, new_task, shared_dir, slices, stored
+from .common import bounded_batches, in_arrow, new_task, shared_dir, slices, stored
 from .tokens import with_end, worker_encoder
 
 MAGIC = b"S8B\x00\x00\x00\x00\x01"
@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> DataF
     counts as empty; each document has ``end_id`` after its ids. An empty table gives no file.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, k = new_task(lambda: worker_encoder(tokenizer_path)), TaskContext.get().partitionId(), 0
