@@ -1,8 +1,9 @@
 """Markdown structure: front matter, headings, sections, what a translator needs to know of a document.
 
 ``headings`` finds ATX and setext headings with a fold over lines. It knows fenced and indented
-code, HTML comments and block-level tags. Headings within block quotes and lists, and setext
-headings after link-reference definitions, are not found.
+code, HTML comments and block-level tags, and ATX headings in block quotes and at the beginning
+of list items. It doesn't know setext headings and fences within those, headings further down a
+list item, and link-reference definitions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ HEADING = "array<struct<start_line:int,end_line:int,level:int,heading_text:strin
 # Headings that begin an abstract or the references.
 ABSTRACT_PREFIXES, ABSTRACT_WHOLE = ("abstract", "summary"), ("概要", "摘要")
 REFERENCE_PREFIXES, REFERENCE_WHOLE = ("references", "reference", "bibliography", "works cited", "literature cited"), ("参考文献", "引用文献", "参考资料")
+#: Marks of block quotes and list items before what they hold.
+_CONTAINERS = r"^(?: {0,3}(?:> ?|(?:[-+*]|[0-9]{1,9}[.)]) {1,4}(?=[^ \t])))+"
 #: Tags that begin an HTML block, which lasts to a blank line.
 _BLOCK_TAGS = "address|article|aside|blockquote|body|center|details|dialog|div|dl|dt|dd|fieldset|figure|figcaption|footer|form|h[1-6]|head|header|hr|html|iframe|li|link|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
@@ -67,14 +70,15 @@ def headings(text: Column) -> Column:
         covered = in_fence | acc["html"] | acc["note"]
         opens_html = x.rlike(rf"(?i)^ {{0,3}}</?(?:{_BLOCK_TAGS})(?:[\s/>]|$)") & ~covered
         indented = x.rlike(r"^(?: {4}| {0,3}\t)") & ~in_para
-        atx = F.regexp_extract(x, r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1)
+        inner = replace(x, _CONTAINERS, "")
+        atx = F.regexp_extract(inner, r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1)
         is_atx = (atx != "") & ~covered
         under = F.regexp_extract(x, r"^ {0,3}(=+|-+)[ \t]*$", 1)
         is_setext = (under != "") & in_para & ~covered
         rule = x.rlike(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:_[ \t]*){3,}|(?:\*[ \t]*){3,})$")
         container = x.rlike(r"^ {0,3}(?:>|[-+*](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$))") & ~in_para
         plain = ~(covered | is_blank | is_atx | is_setext | opens_html | opens_note | indented | rule | container) & (fence == "")
-        content = replace(replace(replace(x, r"^ {0,3}#{1,6}", ""), r"(?:^|[ \t])[ \t]*#+[ \t]*$", ""), r"^[ \t]+|[ \t]+$", "")
+        content = replace(replace(replace(inner, r"^ {0,3}#{1,6}", ""), r"(?:^|[ \t])[ \t]*#+[ \t]*$", ""), r"^[ \t]+|[ \t]+$", "")
         trimmed = replace(x, r"^[ \t]+|[ \t]+$", "")
         found = F.when(is_atx, F.array(F.struct(at.alias("start_line"), (at + 1).alias("end_line"), F.length(atx).alias("level"), content.alias("heading_text")))).when(
             is_setext, F.array(F.struct(acc["para"].alias("start_line"), (at + 1).alias("end_line"), F.when(under.startswith("="), 1).otherwise(2).alias("level"), acc["text"].alias("heading_text")))

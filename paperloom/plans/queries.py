@@ -345,7 +345,7 @@ def q34_api_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def ingest_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q35_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingestion end to end: the Markdown view of all documents against the folders of some."""
     docs = _table(spark, sf_dir, "documents")
     rows = docs.select(F.concat(F.lit("/data/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".pdf")).alias("source"), F.expr(fixtures.PAPER_MD).alias("markdown"), F.when(F.col("doc_id") % 5 != 0, _candidate_title()).alias("detected_title"), F.lit(None).cast("string").alias("meta_title"))

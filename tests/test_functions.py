@@ -96,6 +96,8 @@ def test_headings(spark):
     got = of(spark, markdown.headings, HEADINGS, "")
     assert [(h["start_line"], h["end_line"], h["level"], h["heading_text"]) for h in got[0]] == [(0, 1, 1, "T"), (3, 4, 1, "not here"), (6, 9, 2, "Setext\nline"), (16, 17, 2, "Two"), (20, 21, 1, "")]
     assert got[1] == []
+    held = of(spark, markdown.headings, "> # a\n- ## b\n1. > ### c ###\n-# no\n* * *\n")[0]
+    assert [(h["start_line"], h["level"], h["heading_text"]) for h in held] == [(0, 1, "a"), (1, 2, "b"), (2, 3, "c")]
 
 
 def test_sections_and_references(spark):
