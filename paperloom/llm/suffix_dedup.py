@@ -36,7 +36,9 @@ from .common import bounded_batches, byte_rows, drop_stored, in_arrow, ragged, s
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
-SMALL = 1 << 18
+SMALL = 1 << 17
+#: Anchors that one hash range gets on average at most.
+BUCKET_HASHES = 4 << 20
 #: Bytes of texts with repeated phrases whose open places one hash range gets on average at most.
 BUCKET_BYTES = 16 << 20
 #: Neighbours in the array that are compared in one task.
@@ -326,32 +328,82 @@ def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
 # --- from neighbours to spans ----------------------------------------------------------------
 
 
-def _live(texts: DataFrame) -> DataFrame:
-    """(tid, at): the numbers of each text's cuts whose anchor occurs again."""
-    each = texts.select("tid", F.posexplode("anchors").alias("i", "anchor")).where("anchor <> 0")
-    again = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    return each.join(again, "anchor", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_list("i")).alias("at"))
+def _text_blocks(texts: DataFrame) -> DataFrame:
+    """(block, tids, text_hashes, copies, n_bytes, cuts, names, anchors): a row for some MB of texts, a list of each column; tids are new numbers."""
 
+    def begin():
+        task, made = TaskContext.get().partitionId(), 0
+
+        def step(batch: pa.RecordBatch) -> dict:
+            nonlocal made
+            made += 1
+            n, block = batch.num_rows, task << 24 | made
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
+            columns = {k: one(batch.column(c)) for k, c in (("text_hashes", "text_hash"), ("copies", "copies"), ("n_bytes", "n_bytes"), ("cuts", "cuts"), ("names", "names"), ("anchors", "anchors"))}
+            return {"block": [block], "tids": one(pa.array((block << 20) + np.arange(n)))} | columns
+
+        return step
+
+    schema = "block long, tids array<long>, text_hashes array<binary>, copies array<long>, n_bytes array<long>, cuts array<array<int>>, names array<array<long>>, anchors array<array<long>>"
+    return in_arrow(texts, begin, schema, weigh=None)
 
-def _phrases_behind(texts: DataFrame, live: DataFrame, length: int) -> DataFrame:
-    """(tid, i, name, start, size): phrases that begin at a live cut or less than ``length`` bytes behind one: no other can be in a repeated passage."""
+
+def _dealt_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, hashes, counts): a block's distinct anchors in a hash range, and how often it has them."""
+    limits = runs.edges(buckets)
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = {"bucket": [], "block": [], "hashes": [], "counts": []}
+            for block, lists in zip(batch.column("block").to_pylist(), batch.column("anchors"), strict=True):
+                found, counts = np.unique(_lists(lists.values)[1].view(np.uint64), return_counts=True)
+                for bucket, a, b in runs.ranges(found, limits):
+                    for k, x in (("bucket", bucket), ("block", block), ("hashes", runs.packed_run(found[a:b])), ("counts", runs.packed(counts[a:b], 4))):
+                        out[k].append(x)
+            return out
+
+        return step
+
+    return in_arrow(blocks.select("block", "anchors"), begin, "bucket int, block long, hashes binary, counts binary", weigh=None)
+
+
+def _phrases_behind(blocks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
+    """(tid, i, name, start, size): phrases that begin at a cut whose anchor occurs again, or less than ``length`` bytes behind one: no other can be in a repeated passage.
+
+    Short phrases between equal ones are left out: ``_solid`` knows what they would tell.
+    """
+    window = _window(length)
+    grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
             out = {k: [np.zeros(0, np.int64)] for k in ("tid", "i", "name", "start", "size")}
-            columns = [batch.column(k) for k in ("cuts", "names", "at")]
-            for k, tid in enumerate(batch.column("tid").to_pylist()):
-                cut, name, at = (c[k].values.to_numpy().astype(np.int64) for c in columns)
-                start = cut[:-1]
-                last = np.searchsorted(at, np.arange(len(start)), side="right") - 1  # the live cut at or before each phrase
-                i = np.flatnonzero((last >= 0) & (start - cut[at[np.maximum(last, 0)]] < length))
-                for key, x in (("tid", np.full(len(i), tid)), ("i", i), ("name", name[i]), ("start", start[i]), ("size", cut[i + 1] - start[i])):
+            for tids, cuts_, names_, anchors_, answers_ in zip(*(batch.column(k) for k in ("tids", "cuts", "names", "anchors", "answers")), strict=True):
+                bounds, cut = _lists(cuts_.values)
+                name, anchor = _lists(names_.values)[1], _lists(anchors_.values)[1].view(np.uint64)
+                found = np.unique(anchor)
+                again = np.concatenate([np.zeros(0, np.uint64), *[runs.unpacked(x["again"], 1) for x in answers_.as_py() or []]]) > 0
+                n = np.diff(bounds)
+                text = np.repeat(np.arange(len(n)), n)
+                live = again[np.searchsorted(found, anchor)] & (anchor != 0) if len(found) else np.zeros(0, bool)
+                # of each cut the last live one at or before it, in its text
+                last = np.maximum.accumulate(np.where(live, np.arange(len(cut)), -1)) if len(cut) else np.zeros(0, np.int64)
+                phrase = np.flatnonzero(text[:-1] == text[1:]) if len(cut) else np.zeros(0, np.int64)  # cuts that begin one, in the order of names
+                at, of = last[phrase], text[phrase]
+                size = cut[phrase + 1] - cut[phrase]
+                keep = (at >= bounds[of]) & (cut[phrase] - cut[np.maximum(at, 0)] < length)
+                same = np.zeros(len(name) + 1, bool)
+                same[1:-1] = (name[1:] == name[:-1]) & (of[1:] == of[:-1])
+                keep &= ~(same[:-1] & same[1:] & (size <= window // 4))
+                k = np.flatnonzero(keep)
+                for key, x in (("tid", np.asarray(tids.values)[of[k]]), ("i", phrase[k] - bounds[of[k]]), ("name", name[k]), ("start", cut[phrase[k]]), ("size", size[k])):
                     out[key].append(x)
             return {k: np.concatenate(v) for k, v in out.items()}
 
         return step
 
-    return in_arrow(texts.join(live, "tid").select("tid", "cuts", "names", "at"), begin, "tid long, i int, name long, start int, size int", weigh=None)
+    joined = blocks.select("block", "tids", "cuts", "names", "anchors").join(grouped, "block", "left")
+    return in_arrow(joined, begin, "tid long, i int, name long, start int, size int", weigh=None)
 
 
 def _runs(repeated: DataFrame) -> DataFrame:
@@ -465,36 +517,68 @@ def _leasts(data: np.ndarray, window: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def _places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places from which ``length`` bytes may repeat, the first cut of each, and whether the phrases settle that they do.
+def _solid(raw: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where equal phrases follow each other: starts and ends of such pairs; and starts and lengths of what so occurs again, a phrase further on."""
+    size = np.diff(cut)
+    even = np.flatnonzero(size[:-1] == size[1:])
+    same = [raw[a:b] == raw[b:c] for a, b, c in zip(cut[even].tolist(), cut[even + 1].tolist(), cut[even + 2].tolist(), strict=True)]
+    pair = even[np.array(same, bool)]
+    if not len(pair):
+        return pair, pair, pair, pair
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1] + 1)))
+    last = np.append(first[1:], len(pair)) - 1
+    start, stop, q = cut[pair[first]], cut[pair[last] + 2], size[pair[first]]
+    return cut[pair], cut[pair + 2], np.concatenate((start, start + q)), np.tile(stop - start - q, 2)
+
+
+def _places(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and reaches with those that equal phrases in a row add; places from which ``length`` bytes may repeat, the first cut of each, and whether it is settled that they do.
 
     Where they repeat, the least place of their first window and that of their last are cuts of
-    either occurrence, and the phrases between these repeat.
+    either occurrence, and the phrases between these repeat, or hold equal ones in a row.
     """
     n = len(data)
     least = _leasts(data, window)
+    valid = least[: max(n - window - _GRAM + 2, 0)]
+    chosen = np.zeros(n, bool)
+    chosen[valid] = True
+    pair, pair_end, more, far = _solid(data.tobytes(), np.flatnonzero(chosen))
     known = np.zeros(n + 1, np.int64)
     known[starts] = reach
     first = least[: n - length + 1]
     last = least[length - _GRAM - window + 1 :][: n - length + 1]
+    starts, reach = np.concatenate((starts, more)), np.concatenate((reach, far))
     sure = np.zeros(n + 1, np.int64)
     ok = reach >= length
     np.add.at(sure, starts[ok], 1)
     np.add.at(sure, starts[ok] + reach[ok] - length + 1, -1)
-    at = np.flatnonzero((known[first] >= last - first) & (known[first] > 0))
-    return at, first[at], np.cumsum(sure)[at] > 0
+    maybe = (known[first] >= last - first) & (known[first] > 0)
+    if len(pair):
+        k = np.searchsorted(pair, first)
+        maybe |= (k < len(pair)) & (pair_end[np.minimum(k, len(pair) - 1)] <= last)
+    at = np.flatnonzero(maybe)
+    return starts, reach, at, first[at], np.cumsum(sure)[at] > 0
 
 
 def _anchors(raw: bytes, at: np.ndarray, ahead: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(raw[a : a + ahead], 1) for a in at.tolist()], np.uint64).view(np.int64)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the base, at least, and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, x, np.uint64))))
+    return _POWERS
+
+
 def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """A hash of the ``length`` bytes from each place: of sums of mixed bytes in eights, weighted by powers."""
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), _BASE, np.uint64))))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_grams(data) * power[:-1])))
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), inverse, np.uint64))))
+    power, back = _powers(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_grams(data) * power[: len(data)])))
     return _mixed((sums[at + length - _GRAM + 1] - sums[at]) * back[at])
 
 
@@ -515,8 +599,14 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     window = _window(length)
     held = stored(phrases(docs, length))
     texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.any_value(F.struct("n_bytes", "cuts", "names", "anchors")).alias("x"))
-    texts = stored(texts.select("text_hash", "copies", "x.*").withColumn("tid", F.monotonically_increasing_id()))
-    behind = stored(_phrases_behind(texts, _live(texts), length))
+    known = stored(_text_blocks(texts.select("text_hash", "copies", "x.*")))
+    zipped = F.explode(F.arrays_zip("tids", "text_hashes", "copies", "n_bytes")).alias("x")
+    texts = known.select(zipped).select(F.col("x.tids").alias("tid"), F.col("x.text_hashes").alias("text_hash"), "x.copies", "x.n_bytes")
+    n_cuts = known.select(F.sum(F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + F.size(x)))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = _answers(_dealt_anchors(known, max(partitions, -(-n_cuts // BUCKET_HASHES))))
+    behind = stored(_phrases_behind(known, answers, length))
+    drop_stored(answers)
     again = behind.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(1).cast("long").alias("n"))
     numbered = _prefix_counts(again, ["name"], ["n"]).select("name", F.col("before_n").alias("number"))
     strings = stored(_runs(behind.join(numbered, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")))
@@ -526,7 +616,7 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     drop_stored(strings)
     wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "n_bytes", "reach")
     size = wanted.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(partitions, -(-size // BUCKET_BYTES))
     texts_of = stored(_blocks(_with_texts(docs, wanted)))
     drop_stored(reach)
     blocks = stored(_with_masks(texts_of, length, window))
@@ -581,53 +671,38 @@ def _anchored(t: dict, length: int, window: int):
     """A text's bytes, starts and reaches; its places, the anchor of each, how far before its cut it is, and whether it is settled."""
     data = np.frombuffer(t["text"].encode(), np.uint8)
     starts, reach = np.array(t["starts"], np.int64), np.array(t["reach"], np.int64)
-    at, first, sure = _places(data, starts, reach, length, window)
+    starts, reach, at, first, sure = _places(data, starts, reach, length, window)
     cut, back = np.unique(first, return_inverse=True)
     return data, starts, reach, at, _anchors(data.tobytes(), cut, length - window + 1)[back], first - at, sure
 
 
-def _masks(blocks: DataFrame, length: int, window: int) -> DataFrame:
-    """(anchor, m0, m1, ...): by anchor the distances, a bit each, at which some text has an unsettled place."""
+def _with_masks(blocks: DataFrame, length: int, window: int) -> DataFrame:
+    """``blocks`` with masks: for the anchors that each has, the distances, a bit each, at which some text has an unsettled place."""
     n = -(-window // 64)
-
-    def begin():
-        def step(batch: pa.RecordBatch) -> dict:
-            anchors, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch.to_pylist():
-                for t in row["texts"]:
-                    _, _, _, _, anchor, distance, sure = _anchored(t, length, window)
-                    anchors.append(anchor[~sure])
-                    bits.append(distance[~sure])
-            found, back = np.unique(np.concatenate(anchors), return_inverse=True)
-            bit = np.concatenate(bits)
-            mask = np.zeros((len(found), n), np.uint64)
-            np.bitwise_or.at(mask, (back, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-            return {"anchor": found} | {f"m{k}": mask[:, k].copy().view(np.int64) for k in range(n)}
-
-        return step
-
     columns = [f"m{k}" for k in range(n)]
-    found = in_arrow(blocks, begin, "anchor long, " + ", ".join(f"{c} long" for c in columns), weigh=None)
-    return found.groupBy("anchor").agg(*[F.bit_or(c).alias(c) for c in columns])
-
-
-def _with_masks(blocks: DataFrame, length: int, window: int) -> DataFrame:
-    """``blocks`` with the masks of the anchors that each has."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {"block": [np.zeros(0, np.int64)], "anchor": [np.zeros(0, np.int64)]}
+            out = {k: [np.zeros(0, np.int64)] for k in ("block", "anchor", *columns)}
             for row in batch.to_pylist():
-                anchor = np.unique(np.concatenate([_anchored(t, length, window)[4] for t in row["texts"]]))
-                out["block"].append(np.full(len(anchor), row["block"]))
-                out["anchor"].append(anchor)
+                found = [_anchored(t, length, window)[4:] for t in row["texts"]]
+                anchor, distance, sure = (np.concatenate(x) for x in zip(*found, strict=True))
+                names, back = np.unique(anchor, return_inverse=True)
+                mask = np.zeros((len(names), n), np.uint64)
+                open_ = np.flatnonzero(~sure)
+                np.bitwise_or.at(mask, (back[open_], distance[open_] // 64), np.uint64(1) << (distance[open_] % 64).astype(np.uint64))
+                out["block"].append(np.full(len(names), row["block"]))
+                out["anchor"].append(names)
+                for k, c in enumerate(columns):
+                    out[c].append(mask[:, k].copy().view(np.int64))
             return {k: np.concatenate(v) for k, v in out.items()}
 
         return step
 
-    masks = _masks(blocks, length, window)
-    there = in_arrow(blocks, begin, "block long, anchor long", weigh=None).join(masks, "anchor")
-    grouped = there.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("anchor", F.array(*[c for c in masks.columns if c != "anchor"]).alias("mask")))).alias("masks"))
+    there = stored(in_arrow(blocks, begin, "block long, anchor long, " + ", ".join(f"{c} long" for c in columns), weigh=None))
+    masks = there.groupBy("anchor").agg(*[F.bit_or(c).alias(c) for c in columns])
+    masks = masks.where(" or ".join(f"{c} <> 0" for c in columns))
+    grouped = there.select("block", "anchor").join(masks, "anchor").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("anchor", F.array(*columns).alias("mask")))).alias("masks"))
     return blocks.join(grouped, "block", "left")
 
 
