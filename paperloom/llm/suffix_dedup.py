@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -141,10 +141,12 @@ def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> Data
     schema = ", ".join([*[f"{k} long" for k in names], "task int", *[f"{b} long" for b in before]])
     ordered = keyed.select(*names).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     local = stored(in_arrow(ordered, begin, schema, weigh=None))
-    sums = local.groupBy("task").agg(*[F.sum(c).alias(f"sum_{c}") for c in counts])
-    lesser = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    bases = sums.select(F.col("task"), *[F.coalesce(F.sum(f"sum_{c}").over(lesser), F.lit(0)).alias(f"base_{c}") for c in counts])
-    return local.join(F.broadcast(bases), "task").select(*names, *[(F.col(b) + F.col(f"base_{c}")).alias(b) for b, c in zip(before, counts, strict=True)])
+    # a row for each task comes to the driver
+    sums = {r["task"]: r for r in local.groupBy("task").agg(*[F.sum(c).alias(c) for c in counts]).collect()}
+    tasks = range(max(sums, default=-1) + 1)
+    bases = {c: np.cumsum([0, *[sums[t][c] if t in sums else 0 for t in tasks]]).tolist() for c in counts}
+    of_task = lambda c: F.expr(f"array({', '.join(f'{x}L' for x in bases[c])})")[F.col("task")]
+    return local.select(*names, *[(F.col(b) + of_task(c)).alias(b) for b, c in zip(before, counts, strict=True)])
 
 
 def _grouped(rows: DataFrame, keys: list[str], schema: str, whole: Callable[[dict], dict]) -> DataFrame:
