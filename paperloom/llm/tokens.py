@@ -22,7 +22,7 @@ import regex
 from .common import ragged, worker_held
 
 #: Stretches that a worker remembers; beyond them it starts anew (a matter of speed and memory, not of results).
-REMEMBERED = 450_000
+REMEMBERED = 600_000
 #: Characters of stretches that it remembers at most, likewise.
 REMEMBERED_CHARS = 16 << 20
 
