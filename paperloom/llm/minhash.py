@@ -1,0 +1,151 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Texts whose MinHash bands agree anywhere are gathered by connected components; within these,
+similarities are computed from the shingles themselves, and only pairs that reach the threshold
+are links. What bands miss is the only loss: a pair of similarity s agrees in none of BANDS
+bands of ROWS values with a chance of (1 - s^ROWS)^BANDS, which is 0.0007 at 0.8.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, in_arrow, stored
+from .graph import components
+
+BANDS, ROWS = 24, 6
+#: Texts of a component that a task compares at once; a component with more is dealt out by pairs of blocks.
+BLOCK = 400
+#: Shingles hashed at once.
+_AT_ONCE = 512
+_RNG = np.random.default_rng(42)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending: lower-cased words, of fewer than ``shingle`` words all; none without words."""
+    words = (text or "").encode().lower().split()  # of bytes, as in simhash
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    n = max(len(words) - shingle + 1, 1)
+    starts = [0, *ends[: n - 1].tolist()]
+    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def _named(found: np.ndarray) -> int:
+    return int(np.frombuffer(xxhash.xxh3_64_digest(found.tobytes()), "<i8")[0])
+
+
+def _bands(found: np.ndarray) -> np.ndarray:
+    """A hash of each band's least values; texts without words have a band of their own."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for k in range(0, len(found), _AT_ONCE):
+        x = _ADD[:, None] ^ found[k : k + _AT_ONCE]
+        x *= _TIMES[:, None]
+        np.minimum(least, x.min(axis=1), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, name, bands): a hash of the set of shingles, and its bands."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            found = [shingles(x, shingle) for x in batch.column("text").to_pylist()]
+            return {"doc_id": batch.column("doc_id"), "name": [_named(x) for x in found], "bands": [_bands(x) for x in found]}
+
+        return step
+
+    return in_arrow(docs.select("doc_id", "text"), begin, "doc_id long, name long, bands array<long>")
+
+
+def _similar(sets: list[np.ndarray], own: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of all components of the pairs of similarity ``least``; own: the block of a set if two blocks are compared, else -1."""
+    size = np.array([len(x) for x in sets], np.int64)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    root, links = np.arange(len(sets)), []
+    mark = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[(root[j] != root[i]) & ((own[i] < 0) | (own[j] != own[i]))]
+        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i])]
+        if not len(j):
+            continue
+        mine = number[bounds[i] : bounds[i + 1]]
+        mark[mine] = True
+        at = np.concatenate([number[bounds[k] : bounds[k + 1]] for k in j])
+        both = np.add.reduceat(mark[at], np.cumsum(size[j]) - size[j], dtype=np.int64) if len(at) else np.zeros(len(j), np.int64)
+        mark[mine] = False
+        # whole numbers are divided, so 4 of 5 is 0.8 exactly
+        for k in j[both / np.maximum(size[j] + size[i] - both, 1) >= least].tolist():
+            if root[k] != root[i]:
+                links.append((i, k))
+                root[root == root[k]] = root[i]
+    return links
+
+
+def links(members: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v): pairs of (component, u, name) in one component whose texts have a similarity of ``least``; enough of them to have all components.
+
+    A component with over BLOCK members is cut into blocks by hash, and each pair of blocks is
+    a group of its own, so that tasks stay small and no pair is left out.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.when(F.col("b") != F.col("c"), F.col("b")).otherwise(-1)
+    # a row of block b is in (b, c) with c <> b as b's, and in (b, b) alone
+    dealt = dealt.select("component", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "u", "name", own.alias("own"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("u"), "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("u")
+        found = [shingles(x, shingle) for x in table.column("text").to_pylist()]
+        names = table.column("name").to_pylist()
+        # a doc_id's other texts are not meant; equal rows link to themselves
+        on = [k for k, x in enumerate(found) if _named(x) == names[k]]
+        u, own = table.column("u").to_numpy()[on], table.column("own").to_numpy()[on]
+        pairs = np.array(_similar([found[k] for k in on], own, least), np.int64).reshape(-1, 2)
+        return pa.table({"u": u[pairs[:, 0]], "v": u[pairs[:, 1]]})
+
+    bounded_batches(docs.sparkSession)
+    return dealt.join(texts, "u").groupBy("component", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links lead to, its own included.
+
+    Links are pairs of texts with a Jaccard similarity of shingles of ``least`` or more. Texts
+    without words, null ones too, are one component. Rows with a null doc_id link nothing and
+    have no component_id. An empty table gives an empty one. Columns but doc_id and text are
+    left out.
+    """
+    held = stored(signatures(docs, shingle))
+    reps = stored(held.where("doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("u"), F.any_value("bands").alias("bands")))
+    keyed = reps.select("u", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+    near = components(keyed.join(shared, "key").select("u", "v"))
+    heads = near.select(F.col("component").alias("u"), "component").distinct()
+    members = stored(near.unionByName(heads).join(reps.select("u", "name"), "u"))
+    joined = components(links(members, docs, shingle, least))
+    classes = reps.select("name", "u").join(joined, "u", "left").select("name", F.coalesce("component", "u").alias("component_id"))
+    out = held.select("doc_id", "name").join(classes, "name", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component; of rows with one doc_id one stays, those with a null doc_id all stay."""
+    found = near_duplicates(docs, shingle, least).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

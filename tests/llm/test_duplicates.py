@@ -187,3 +187,49 @@ def test_pipeline(spark):
     assert seen[3][14]["text"].endswith("write to [EMAIL]") and seen[3][2]["text"] == texts[2]
     assert {r["doc_id"] for r in seen[4]} == set(seen[3])
     assert 4 <= len(cp.STAGES) <= 5 and F is not None
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [400, 7])
+def test_near_duplicates_of_similarity(spark, monkeypatch, block):
+    """The pipeline's stage against brute force: copies of similarity 0.8 to 0.95, ones a little below 0.8, and a large group of them."""
+    import corpus_pipeline as cp
+    from paperloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    texts = []
+    for n, edits in [(120, 1), (120, 2), (200, 3), (200, 4), (300, 6), (300, 7), (110, 3), (200, 5), (90, 3)] * 3 + [(150, 2)] * 20:
+        base = texts[-1].split() if n == 150 and len(texts[-1].split()) == 150 else [word() for _ in range(n)]
+        copy = list(base)
+        for k in range(edits):
+            copy[5 + k * (n - 10) // edits] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    rows = [(len(texts) - k, t) for k, t in enumerate(texts)]
+    parent, near = list(range(len(rows) + 1)), 0
+    for i, t in rows:
+        for j, u in rows:
+            if i < j and jaccard(t, u) >= 0.8:
+                near += t != u
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert near > 30 and any(0.7 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    df = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string")
+    got = Counter(r["doc_id"] for r in cp.one_of_each(spark, df, None).collect())
+    assert got == Counter({**{i: 1 for i, _ in rows if find(parent, i) == i}, None: 1})
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    from paperloom.llm import minhash
+
+    rows = cases.rows()
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(cases.table(spark)).collect()}
+    assert len({got[r[0]] for r in rows if r[0] is not None and not (r[1] or "").encode().split()}) == 1
+    assert set(got) == {r[0] for r in rows} and got[None] is None and got[49] == got[50] == 3
+    assert minhash.keep_one(cases.table(spark)).columns == cases.table(spark).columns
+    assert minhash.near_duplicates(cases.empty(spark)).count() == minhash.keep_one(cases.empty(spark)).count() == 0
