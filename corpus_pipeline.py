@@ -23,8 +23,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that occur elsewhere."""
-    return suffix_dedup.without_repeats(docs, length=400)
+    """Documents without the passages of over 50 words that occur elsewhere."""
+    return suffix_dedup.without_repeated_words(docs, words=51)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,9 @@ about n * n / 2^65 over n of them.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runs
-from .common import bounded_batches, byte_rows, drop_stored, in_arrow, ragged, stored
+from .common import bounded_batches, byte_rows, drop_stored, in_arrow, ragged, stored, worker_held
 
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
 SMALL = 1 << 17
+#: Characters that stand for a word, six bits each, and words whose characters a worker remembers.
+_CODE, _REMEMBERED = 6, 100_000
 #: Anchors that one hash range gets on average at most.
 BUCKET_HASHES = 4 << 20
 #: Bytes of texts with repeated phrases whose open places one hash range gets on average at most.
@@ -76,18 +80,20 @@ def cuts(data: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def phrases(docs: DataFrame, length: int) -> DataFrame:
+def phrases(docs: DataFrame, length: int, read: Callable | None = None) -> DataFrame:
     """(doc_id, text_hash, n_bytes, sha256, cuts, names, anchors): a row for each document.
 
     names are hashes of the phrases between cuts. anchors are hashes of the bytes after a cut
     that a repeated passage surely has behind its first cut; 0 where the text ends before.
+    ``read``, if given, turns a list of texts into the strings to take for them.
     """
     window = _window(length)
     ahead = length - window + 1
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            data, bounds = byte_rows(batch.column("text"))
+            column = batch.column("text")
+            data, bounds = byte_rows(pa.array(read(column.to_pylist()), pa.string()) if read else column)
             raw, at = data.tobytes(), cuts(data, bounds, window)
             row = np.searchsorted(bounds, at, side="right") - 1
             first = np.searchsorted(at, bounds)  # each row's first cut
@@ -596,10 +602,10 @@ def _removed(n: int, starts: np.ndarray, reach: np.ndarray, places: np.ndarray,
     return np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
 
 
-def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = 400, small: int = SMALL, read: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Per row (doc_id, text_hash, n_bytes, sha256), and per text with something to remove (text_hash, n_removed, n_spans, kept_sha256, edges)."""
     window = _window(length)
-    held = stored(phrases(docs, length))
+    held = stored(phrases(docs, length, read))
     texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.any_value(F.struct("n_bytes", "cuts", "names", "anchors")).alias("x"))
     known = stored(_text_blocks(texts.select("text_hash", "copies", "x.*")))
     zipped = F.explode(F.arrays_zip("tids", "text_hashes", "copies", "n_bytes")).alias("x")
@@ -619,7 +625,7 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "n_bytes", "reach")
     size = wanted.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(partitions, -(-size // BUCKET_BYTES))
-    texts_of = stored(_blocks(_with_texts(docs, wanted)))
+    texts_of = stored(_blocks(_with_texts(docs, wanted, read), read))
     drop_stored(reach)
     blocks = stored(_with_masks(texts_of, length, window))
     drop_stored(texts_of)
@@ -631,13 +637,14 @@ def repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> tuple[Dat
     return held.select("doc_id", "text_hash", "n_bytes", "sha256"), cut.union(whole)
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, and _hash, the hash of the text's bytes; null counts as empty."""
+def _hashed(docs: DataFrame, read: Callable | None = None) -> DataFrame:
+    """``docs``, all columns, and _hash, the hash of the text's bytes, or of those of what is read for it; null counts as empty."""
     names = docs.columns
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            return {k: batch.column(k) for k in names} | {"_hash": [xxhash.xxh3_128_digest((x or "").encode()) for x in batch.column("text").to_pylist()]}
+            texts = batch.column("text").to_pylist()
+            return {k: batch.column(k) for k in names} | {"_hash": [xxhash.xxh3_128_digest((x or "").encode()) for x in (read(texts) if read else texts)]}
 
         return step
 
@@ -646,12 +653,12 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return in_arrow(docs, begin, StructType([*docs.schema, StructType().add("_hash", BinaryType())[0]]))
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _with_texts(docs: DataFrame, wanted: DataFrame, read: Callable | None = None) -> DataFrame:
     """``wanted`` with its texts. Copies of one come as often as there are: all their passages occur again, as that would have it."""
-    return _hashed(docs.select("text")).join(wanted, F.col("_hash") == F.col("text_hash")).drop("_hash")
+    return _hashed(docs.select("text"), read).join(wanted, F.col("_hash") == F.col("text_hash")).drop("_hash")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, read: Callable | None = None) -> DataFrame:
     """(block, texts): a row for some MB of texts, with what is known of each."""
     kind = "array<struct<text_hash:binary,copies:long,text:string,starts:array<int>,reach:array<int>>>"
 
@@ -661,7 +668,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             nonlocal made
             made += 1
-            return {"block": [task << 32 | made], "texts": [batch.to_pylist()]}
+            texts = batch.to_pylist()
+            if read:
+                texts = [t | {"text": x} for t, x in zip(texts, read([t["text"] for t in texts]), strict=True)]
+            return {"block": [task << 32 | made], "texts": [texts]}
 
         return step
 
@@ -807,3 +817,56 @@ def without_repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> D
         return step
 
     return in_arrow(out, begin, docs.schema)
+
+
+class _Codes(dict):
+    def __missing__(self, word: str) -> str:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        # eight bytes are 11 characters; the first _CODE are 36 bits of them
+        code = self[word] = base64.b64encode(xxhash.xxh3_64_digest(word.encode()))[:_CODE].decode()
+        return code
+
+
+def _coded(texts: list[str | None]) -> list[str]:
+    """Each text's words, what white space divides, as _CODE characters each and nothing between them."""
+    codes = worker_held("word codes", _Codes)
+    return ["".join([codes[w] for w in (x or "").split()]) for x in texts]
+
+
+def _without_words(text: str, edges: list[int], words: int) -> str:
+    """``text`` without the runs of ``words`` words or more between ``edges`` of its code; white space around them stays."""
+    at = [m.span() for m in re.finditer(r"\S+", text)]
+    out, done = [], 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        first, end = -(-a // _CODE), b // _CODE  # characters beside a run may be equal by chance
+        if end - first >= words:
+            out.append(text[done : at[first][0]])
+            done = at[end - 1][1]
+    return "".join(out) + text[done:]
+
+
+def without_repeated_words(docs: DataFrame, words: int = 51, small: int = SMALL) -> DataFrame:
+    """``docs``, all columns, with the passages of ``words`` words or more that also occur elsewhere, in this text or another row's, cut out; the first occurrence too.
+
+    Words are what white space divides, whatever white space it is. The passages are those of
+    texts with a code of equal length for each word, of 36 bits, so any length in bytes counts.
+    Rows of which nothing is left but white space are dropped if something was cut.
+    """
+
+    _, removed = repeats(docs, words * _CODE, small, _coded)
+    names = docs.columns
+
+    out = _hashed(docs, _coded).join(removed.select("text_hash", "edges"), F.col("_hash") == F.col("text_hash"), "left").drop("_hash", "text_hash")
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            edges = batch.column("edges").to_pylist()
+            before = batch.column("text").to_pylist()
+            texts = [t if e is None else _without_words(t, e, words) for t, e in zip(before, edges, strict=True)]
+            stay = pa.array([t == x or bool(t.strip()) for t, x in zip(texts, before, strict=True)])
+            return {k: (pa.array(texts, pa.string()) if k == "text" else batch.column(k)).filter(stay) for k in names}
+
+        return step
+
+    return in_arrow(out, begin, docs.schema)

@@ -233,3 +233,60 @@ def test_near_duplicates_of_odd_rows(spark):
     assert set(got) == {r[0] for r in rows} and got[None] is None and got[49] == got[50] == 3
     assert minhash.keep_one(cases.table(spark)).columns == cases.table(spark).columns
     assert minhash.near_duplicates(cases.empty(spark)).count() == minhash.keep_one(cases.empty(spark)).count() == 0
+
+
+def test_passages_of_over_50_short_words(spark):
+    """The pipeline's stage cuts passages of 51 to 60 words under 400 bytes, at any white space, and none of 50."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 6)))
+    words = lambda n: [f"{word()}{k}" for k in range(n)]
+    rows, cut = [], {}
+    for k, n in enumerate([*range(49, 61), 90]):
+        passage = [word() for _ in range(n)]
+        assert n == 90 or len(" ".join(passage)) < 400
+        for doc in (2 * k, 2 * k + 1):
+            head, tail = [f"h{doc}", *words(70)], [f"t{doc}", *words(70)]
+            between = "\n" if doc % 3 == 0 else " "
+            rows.append((doc, f"{' '.join(head)} {between.join(passage)}\n\n{' '.join(tail)}"))
+            cut[doc] = f"{' '.join(head)} \n\n{' '.join(tail)}" if n > 50 else rows[-1][1]
+    rows += [(100, "a b " * 20), (101, None), (102, ""), (103, "x " * 60)]
+    cut |= {100: rows[-4][1], 101: None, 102: ""}  # all of 103 repeats within itself
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, tid int")
+    got = cp.without_repeats(spark, df, None)
+    assert got.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == cut
+    assert sd.without_repeated_words(cases.empty(spark)).count() == 0
+
+
+def repeated_words(rows, words):
+    data = [(t or "").split() for _, t in rows]
+    times = Counter(tuple(d[p : p + words]) for d in data for p in range(len(d) - words + 1))
+    out = Counter()
+    for (i, _), d in zip(rows, data, strict=True):
+        gone = {q for p in range(len(d) - words + 1) if times[tuple(d[p : p + words])] > 1 for q in range(p, p + words)}
+        if left := [w for q, w in enumerate(d) if q not in gone]:
+            out[i, " ".join(left)] += 1
+        elif not gone:
+            out[i, ""] += 1
+    return out
+
+
+@pytest.mark.parametrize("words", [51, 55])
+def test_repeated_words(spark, words):
+    rng = random.Random(words)
+    known = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    passages = [text(rng.randint(60, 150)).split() for _ in range(6)]
+    rows = []
+    for k in range(50):
+        parts = [text(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            p, a = rng.choice(passages), rng.randint(0, 40)
+            parts += [" ".join(p[a : a + rng.randint(30, 90)]), text(rng.randint(0, 20))]
+        rows.append((k, " ".join(parts)))
+    rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "ab " * 300), (104, "ab " * 70 + text(30)), (None, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in sd.without_repeated_words(df, words).collect())
+    assert got == repeated_words(rows, words)
