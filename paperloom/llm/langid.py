@@ -113,16 +113,18 @@ def _slot(grams: np.ndarray, k: int, size: int) -> np.ndarray:
 def train(labelled: DataFrame, n: int = 4, rows_each: int = 2000, grams_each: int = 100_000, at_least: int = 3) -> BitSliced | None:
     """Filters of the languages in ``labelled`` (text, lang); None if it has no row with both.
 
-    Of each language about ``rows_each`` rows are taken, by a hash of the text, and of their
-    n-grams those found ``at_least`` times, the ``grams_each`` most frequent ones at most:
-    these bounds keep what comes to the driver small at any size of the table.
+    Of each language about ``rows_each`` distinct texts are taken, by a hash of the text, and of
+    their n-grams those found ``at_least`` times, the ``grams_each`` most frequent ones at most:
+    these bounds keep what comes to the driver small at any size of the table. Where no n-gram
+    of a language is found so often, those found most often are taken.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashes = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {x["lang"]: x["n"] for x in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(y) for lang, m in sizes.items() for y in (lang, min(1.0, rows_each / m))])[F.col("lang")]
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "text"])
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
@@ -139,9 +141,11 @@ def train(labelled: DataFrame, n: int = 4, rows_each: int = 2000, grams_each: in
 
         return step
 
-    counted = in_arrow(taken, begin, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+    counted = in_arrow(taken, begin, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
+    most = counted.groupBy("lang").agg(F.least(F.max("n"), F.lit(at_least)).alias("enough"))
+    counted = counted.join(F.broadcast(most), "lang").where("n >= enough")  # a row a language
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams_each).select("lang", "gram").toPandas()
     sets = {lang: np.zeros(0, np.uint64) for lang in sizes} | {lang: part["gram"].to_numpy().view(np.uint64) for lang, part in best.groupby("lang")}
     return BitSliced.build(sets, n)

@@ -33,6 +33,24 @@ def test_languages_of_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_languages_of_few_distinct_texts(spark):
+    """A language of copies is learnt whatever its texts' hashes, copies don't make n-grams frequent, and they don't crowd out other texts."""
+    rng = random.Random(4)
+    for k in range(6):
+        texts = [spoken(rng, "de", 40) for _ in range(2)]
+        rows = [(texts[i % 2], "de") for i in range(200)] + [(spoken(rng, "es", 40), "es") for _ in range(100)]
+        df = spark.createDataFrame(rows, "text string, lang string")
+        model = langid.train(df, rows_each=20)
+        got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+        assert {r["lang_pred"] for r in got} == {"de"}
+    rows = [("seltsam", "de")] * 50 + [("einmal gesagt, einmal getan, einmal", "de")] + [("otra cosa " * 3, "es")] * 50
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    held = lambda t: bool((model.masks(langid.ngrams([t], 4)[0])[:, 0] & 1).all())
+    assert held("einmal") and not held("seltsam")
+    few = langid.train(spark.createDataFrame([("kurz", "de")] * 9, "text string, lang string"))
+    assert len(langid.ngrams(["kurz"], 4)[0]) and (few.masks(langid.ngrams(["kurz"], 4)[0])[:, 0] & 1).all()
+
+
 def test_sliced_filters_hold_every_gram_and_few_others():
     rng = np.random.default_rng(1)
     sets = {f"l{k}": rng.integers(0, 1 << 63, 2000).astype(np.uint64) for k in range(70)}  # more languages than bits of a word
