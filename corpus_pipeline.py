@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import entries, minhash, packing, pii, quality, suffix_dedup
+from paperloom.llm import entries, packing, pii, quality, simhash, suffix_dedup
 from paperloom.llm.common import documents, stored
 
 
@@ -19,7 +19,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return minhash.keep_one(docs, shingle=5, least=0.8)
+    return simhash.keep_one(docs, shingle=5, least=0.8)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch, and bytes of text that a numpy step takes at once; they bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 20_000, 6 << 20
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares (``spark.checkpoint.dir``); our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: tables need a folder that the whole cluster sees")
         root = tempfile.mkdtemp(prefix="paperloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -46,12 +49,33 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables of ``stored`` that nothing reads any more."""
+    """Delete tables of ``stored`` that nothing reads any more; other frames are let be."""
     for df in frames:
+        if not hasattr(df, "_stored_at"):
+            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with over HOT_ROWS rows, or over its share of 1 / HOT_KEYS of all, is spread over tasks; so there are HOT_KEYS of these at most.
+HOT_ROWS, HOT_KEYS = 500, 10_000
+
+
+def join_spread(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int, salt: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``unique``, which has a row for each value of ``keys`` and in ``n`` at most how many rows have it; ``total``: the sum of n at most.
+
+    Rows of a frequent key go to as many tasks as it takes, by column ``salt``, and its row of
+    ``unique`` to each. The frequent keys are broadcast: HOT_KEYS small rows at most.
+    """
+    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    parts = unique.withColumn("_parts", F.ceil(F.col(n) / limit).cast("int"))
+    hot = F.broadcast(parts.where("_parts > 1").select(*keys, F.col("_parts").alias("_of")))
+    part = F.coalesce(F.pmod(F.xxhash64(salt), F.col("_of")).cast("int"), F.lit(0))
+    left = rows.join(hot, keys, "left").withColumn("_part", part).drop("_of")
+    right = parts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 #: What a Python worker keeps from task to task, by name, and the names that its present task has asked for.
 _HELD: dict = {}
 _ASKED: set = set()

@@ -1,5 +1,11 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
+``near_duplicates`` links fingerprints of a text's shingles that differ in few bits. Texts with
+a given Jaccard similarity of shingles are found by ``similar``: at 0.8 fingerprints of
+five-word shingles differ in nine of 64 bits, too many to index, those of the distinct words in
+four. So each text gets some fingerprints of its words, with different seeds; texts that are
+near in any of them are candidates, verified by the exact similarity.
+
 Fingerprints that differ in at most ``bits`` bits are cut into bits // 2 + 1 segments, so that
 in one segment they differ in at most one bit. Each fingerprint is indexed under every segment
 as it is, and under every segment with one bit made a wildcard. Equal keys are joined and
@@ -17,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_arrow, stored
+from . import jaccard
+from .common import bounded_batches, drop_stored, in_arrow, join_spread, stored
 from .graph import components
 
 SEED = 42
@@ -25,6 +32,10 @@ SEED = 42
 _AT_ONCE = 1 << 15
 #: Fingerprints under one key that a task compares at once; a key with more is dealt out by pairs of blocks.
 BLOCK = 1000
+#: Fingerprints of a text's words, how many of them are indexed at once, and the bits in which those of similar texts may differ in all: a sixth.
+TABLES, AT_ONCE = 6, 3
+APART = 64 * TABLES // 6
+_SEEDS = np.random.default_rng(SEED).integers(1, 1 << 63, TABLES).astype(np.uint64)
 
 
 def _fingerprint(text: str | None, shingle: int) -> int:
@@ -54,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def variants(fps: DataFrame, bits: int) -> DataFrame:
-    """(key, side, fp): the keys of each ``fp``. side: the wildcard's bit, or 2 under a whole segment."""
+    """(key, side, fp): the keys of each (t, fp), t being above the lowest 32 bits. side: the wildcard's bit, or 2 under a whole segment."""
     segments = bits // 2 + 1
     cuts = [64 * k // segments for k in range(segments + 1)]
     rows = []
@@ -65,7 +76,8 @@ def variants(fps: DataFrame, bits: int) -> DataFrame:
         for b in range(high - low):
             key = tag(low + b).bitwiseOR(part.bitwiseAND(F.lit(((1 << (high - low)) - 1) & ~(1 << b))))
             rows.append(F.struct(key.alias("key"), F.shiftrightunsigned(part, b).bitwiseAND(F.lit(1)).cast("byte").alias("side")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("v")).select(F.col("v.key").cast("long").alias("key"), "v.side", "fp")
+    keyed = fps.select("t", "fp", F.explode(F.array(*rows)).alias("v"))
+    return keyed.select(F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("v.key").cast("long")).alias("key"), "v.side", "fp")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +122,7 @@ def _near(group: np.ndarray, side: np.ndarray, own: np.ndarray, fp: np.ndarray,
 
 
 def links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """(a, b): pairs of the distinct values ``fp`` that differ in at most ``bits`` bits; enough of them to have all components.
+    """(t, a, b): pairs of the distinct (t, fp) with one t that differ in at most ``bits`` bits; enough of them to have all components. Empty input gives none.
 
     Groups under a key are compared in numpy and only a forest of their links leaves a task. A
     key with over BLOCK fingerprints is cut into blocks by hash, and each pair of blocks is a
@@ -125,8 +137,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     pairs = keyed.join(hot, "key").withColumn("b", block).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("key", "side", "fp", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), F.when(F.col("b") != F.col("c"), F.col("b")).otherwise(-1).alias("own"))
     # a row of block b is in (b, c) with c <> b as b's, and in (b, b) alone
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cold.union(pairs).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = cold.union(pairs).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -149,10 +160,10 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         group = np.concatenate(([0], np.cumsum(change)))
         a, b = _near(group, side, own, fp.view(np.uint64), bits)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[a] >> 32), pa.array(fp[a]), pa.array(fp[b])], names=["t", "a", "b"])
 
     bounded_batches(spark)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "t long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -164,17 +175,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     and text are left out.
     """
     held = stored(fingerprints(docs, shingle))
-    reps = stored(held.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(reps.select("fp"), bits)
-    named = lambda end, to: reps.select(F.col("fp").alias(end), F.col("rep").alias(to))
-    joined = components(found.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v"))
-    classes = reps.join(joined, reps["rep"] == joined["u"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = held.join(classes, "fp", "left")
+    reps = stored(held.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    joined = components(_linked(reps.select(F.lit(0).cast("long").alias("t"), "fp", "rep"), bits))
+    classes = reps.join(joined, reps["rep"] == joined["u"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = join_spread(held, classes, ["fp"], "n", held.count(), "doc_id", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component; of rows with one doc_id one stays, those with a null doc_id all stay."""
-    found = near_duplicates(docs, shingle, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def _linked(reps: DataFrame, bits: int) -> DataFrame:
+    """(u, v): the links of the distinct (t, fp), by the ``rep`` of each."""
+    found = links(reps.select("t", "fp"), bits)
+    named = lambda end, to: reps.select("t", F.col("fp").alias(end), F.col("rep").alias(to))
+    return found.join(named("a", "u"), ["t", "a"]).join(named("b", "v"), ["t", "b"]).select("u", "v")
+
+
+def _word_fingerprints(text: str | None) -> np.ndarray:
+    """TABLES fingerprints of the distinct words; all zero without words."""
+    words = {*(text or "").encode().lower().split()}
+    if not words:
+        return np.zeros(TABLES, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ones = np.zeros((TABLES, 64), np.int64)
+    for k in range(0, len(hashes), _AT_ONCE):
+        x = hashes[k : k + _AT_ONCE] ^ _SEEDS[:, None]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        x ^= x >> np.uint64(33)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(TABLES, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(words), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, name, fps): a hash of the set of shingles, and the fingerprints of the words."""
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            texts = batch.column("text").to_pylist()
+            return {"doc_id": batch.column("doc_id"), "name": [jaccard.named(jaccard.shingles(x, shingle)) for x in texts], "fps": [_word_fingerprints(x) for x in texts]}
+
+        return step
+
+    return in_arrow(docs.select("doc_id", "text"), begin, "doc_id long, name long, fps array<long>")
+
+
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links lead to, its own included.
+
+    Links are pairs of texts with a Jaccard similarity of shingles of ``least`` or more; equal
+    sets of shingles always are. Others are found if some path of fingerprints within ``bits``
+    of each other leads from one to the other, in any of TABLES tables. Texts without words,
+    null ones too, are one component. Rows with a null doc_id link nothing and have no
+    component_id. Repeated rows come out as often as they went in. An empty table gives an
+    empty one. Columns but doc_id and text are left out.
+    """
+    held = stored(signatures(docs, shingle))
+    named = held.where("doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("u"), F.any_value("fps").alias("fps"), F.count("*").alias("n"))
+    reps = stored(named)
+    total, edges = reps.count(), []
+    for first in range(0, TABLES, AT_ONCE):
+        fps = reps.select("u", F.posexplode(F.slice("fps", first + 1, AT_ONCE)).alias("t", "fp")).select("u", F.col("t").cast("long").alias("t"), "fp")
+        here = stored(fps.groupBy("t", "fp").agg(F.min("u").alias("rep"), F.count("*").alias("n")))
+        equal = join_spread(fps, here.where("n > 1"), ["t", "fp"], "n", AT_ONCE * total, "u").select("u", F.col("rep").alias("v")).where("u <> v")
+        edges.append(stored(equal.union(_linked(here.select("t", "fp", "rep"), bits))))
+        drop_stored(here)
+    union = edges[0]
+    for x in edges[1:]:
+        union = union.union(x)
+    near = components(union)
+    heads = near.select(F.col("component").alias("u"), "component").distinct()
+    members = stored(near.unionByName(heads).join(reps.select("u", "name", "fps"), "u"))
+    joined = components(jaccard.links(members, docs, shingle, least, APART))
+    classes = reps.select("name", "u", "n").join(joined, "u", "left").select("name", "n", F.coalesce("component", "u").alias("component_id"))
+    out = join_spread(held.select("doc_id", "name"), classes, ["name"], "n", held.count(), "doc_id", "left")
+    drop_stored(*edges, members)
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component of ``similar``; of rows with one doc_id one stays, those with a null doc_id all stay."""
+    found = similar(docs, shingle, least, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,21 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runs
-from .common import bounded_batches, byte_rows, drop_stored, in_arrow, ragged, stored, worker_held
+from .common import bounded_batches, byte_rows, drop_stored, in_arrow, join_spread, ragged, stored, worker_held
 
 _GRAM = 8
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Recursion ends below so many positions, whatever the input's size: they are sorted in one task.
-SMALL = 1 << 17
+SMALL = 1000
+#: Cuts of the texts whose strings are one row.
+BLOCK_CUTS = 1 << 14
 #: Characters that stand for a word, six bits each, and words whose characters a worker remembers.
 _CODE, _REMEMBERED = 6, 100_000
-#: Anchors that one hash range gets on average at most.
-BUCKET_HASHES = 4 << 20
 #: Bytes of texts with repeated phrases whose open places one hash range gets on average at most.
 BUCKET_BYTES = 16 << 20
 #: Neighbours in the array that are compared in one task.
 ADJACENT = 1 << 12
-KEY = ["tid", "run", "path"]
 
 
 def _window(length: int) -> int:
@@ -83,7 +84,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
 def phrases(docs: DataFrame, length: int, read: Callable | None = None) -> DataFrame:
     """(doc_id, text_hash, n_bytes, sha256, cuts, names, anchors): a row for each document.
 
-    names are hashes of the phrases between cuts. anchors are hashes of the bytes after a cut
+    names are hashes of the phrases between cuts, of 63 bits. anchors are hashes of the bytes after a cut
     that a repeated passage surely has behind its first cut; 0 where the text ends before.
     ``read``, if given, turns a list of texts into the strings to take for them.
     """
@@ -99,7 +100,7 @@ def phrases(docs: DataFrame, length: int, read: Callable | None = None) -> DataF
             first = np.searchsorted(at, bounds)  # each row's first cut
             names = np.zeros(len(at), np.int64)
             inner = np.flatnonzero(row[:-1] == row[1:]) if len(at) else np.zeros(0, np.int64)
-            names[inner] = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[inner].tolist(), at[inner + 1].tolist(), strict=True)], np.uint64).view(np.int64)
+            names[inner] = [xxhash.xxh3_64_intdigest(raw[a:b]) >> 1 for a, b in zip(at[inner].tolist(), at[inner + 1].tolist(), strict=True)]
             anchors = np.zeros(len(at), np.int64)
             long_ = np.flatnonzero(at + ahead <= bounds[row + 1])
             anchors[long_] = _anchors(raw, at[long_], ahead)
@@ -123,40 +124,15 @@ def phrases(docs: DataFrame, length: int, read: Callable | None = None) -> DataF
 
 
 # --- the suffix array ------------------------------------------------------------------------
+#
+# Strings are held in blocks, a row for many: ``values`` are their symbols one after another,
+# ``firsts`` the places at which they begin, ``longest`` the greatest of their lengths.
 
+STRINGS = "firsts array<int>, values array<long>, longest int"
 
-def _prefix_counts(keyed: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """``keyed``, one row for each value of ``keys``, with before_<count>: the sum of each count over the lesser keys. A stored table."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    before = [f"before_{c}" for c in counts]
-    names = [*keys, *counts]
 
-    def begin():
-        task, totals = TaskContext.get().partitionId(), {c: 0 for c in counts}
-
-        def step(batch: pa.RecordBatch) -> dict:
-            out = {k: batch.column(k) for k in names} | {"task": np.full(batch.num_rows, task)}
-            for c, b in zip(counts, before, strict=True):
-                x = batch.column(c).to_numpy()
-                out[b] = np.cumsum(x) - x + totals[c]
-                totals[c] += int(x.sum())
-            return out
-
-        return step
-
-    schema = ", ".join([*[f"{k} long" for k in names], "task int", *[f"{b} long" for b in before]])
-    ordered = keyed.select(*names).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    local = stored(in_arrow(ordered, begin, schema, weigh=None))
-    # a row for each task comes to the driver
-    sums = {r["task"]: r for r in local.groupBy("task").agg(*[F.sum(c).alias(c) for c in counts]).collect()}
-    tasks = range(max(sums, default=-1) + 1)
-    bases = {c: np.cumsum([0, *[sums[t][c] if t in sums else 0 for t in tasks]]).tolist() for c in counts}
-    of_task = lambda c: F.expr(f"array({', '.join(f'{x}L' for x in bases[c])})")[F.col("task")]
-    return local.select(*names, *[(F.col(b) + of_task(c)).alias(b) for b, c in zip(before, counts, strict=True)])
-
-
-def _grouped(rows: DataFrame, keys: list[str], schema: str, whole: Callable[[dict], dict]) -> DataFrame:
-    """``rows``, ordered within their first key's partition, handed to ``whole`` as columns, never with a part of a key's rows: it returns columns by name."""
+def _grouped(rows: DataFrame, schema: str, whole: Callable[[dict], dict]) -> DataFrame:
+    """``rows``, ordered within their block's partition, handed to ``whole`` as columns, never with a part of a block: it returns columns by name."""
     names, out = rows.columns, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.sparkSession.createDataFrame([], schema).schema])
 
     def batch_of(parts: dict) -> pa.RecordBatch:
@@ -164,15 +140,14 @@ def _grouped(rows: DataFrame, keys: list[str], schema: str, whole: Callable[[dic
         return pa.RecordBatch.from_arrays([x if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # the rows of a key that may go on
+        rest = None  # the rows of a block that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = {k: batch.column(k).to_numpy() for k in names}
             if rest is not None:
                 now = {k: np.concatenate((rest[k], x)) for k, x in now.items()}
-            same = np.logical_and.reduce([now[k] == now[k][-1] for k in keys])
-            cut = len(same) - int(same.sum())
+            cut = int(np.searchsorted(now["block"], now["block"][-1]))
             rest = {k: x[cut:] for k, x in now.items()}
             if cut:
                 yield batch_of({k: x[:cut] for k, x in now.items()})
@@ -194,82 +169,184 @@ def _as_lists(first: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values))
 
 
-def _by_text(rows: DataFrame, *order: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "tid").sortWithinPartitions(*order)
+def _strings(block: np.ndarray, heads: np.ndarray, values: np.ndarray) -> dict:
+    """Columns of blocks of strings, of rows ordered by block; ``heads``: where strings begin."""
+    first = _firsts(block)
+    lists = np.searchsorted(heads, np.append(first, len(block)))
+    longest = np.maximum.reduceat(np.diff(np.append(heads, len(block))), lists[:-1])
+    within = heads - np.repeat(first, np.diff(lists))
+    firsts = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(within, pa.int32()))
+    return {"block": block[first], "firsts": firsts, "values": _as_lists(first, values), "longest": longest}
 
 
-def _in_order(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """(tid, run, path, <name>): the column ``value`` of (tid, run, path, j, value) by string, in the order of ``j``."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of lists."""
+    at = np.asarray(column.offsets).astype(np.int64)
+    return at - at[0], column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
 
-    def whole(x: dict) -> dict:
-        first = _firsts(*(x[k] for k in KEY))
-        return {k: x[k][first] for k in KEY} | {name: _as_lists(first, x[value])}
 
-    return _grouped(_by_text(rows.select(*KEY, "j", value), *KEY, "j"), KEY, f"tid long, run int, path long, {name} array<long>", whole)
+class _Flat:
+    """A batch of blocks of strings: of all places the row, the place in it, the string, the place in that, the end of that, and the symbol."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        self.bounds, self.values = _lists(batch.column("values"))
+        lists, firsts = _lists(batch.column("firsts"))
+        start = firsts + np.repeat(self.bounds[:-1], np.diff(lists))
+        size = np.diff(np.append(start, len(self.values)))
+        self.row = np.repeat(np.arange(batch.num_rows), np.diff(self.bounds))
+        self.string = np.repeat(np.arange(len(start)), size)
+        self.place = np.arange(len(self.values)) - self.bounds[self.row]
+        self.j = np.arange(len(self.values)) - start[self.string]
+        self.end = (start + size)[self.string]
+        self.block = np.asarray(batch.column("block"))[self.row]
 
-def _positions(batch: pa.RecordBatch, lists: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all positions of a batch of strings: the row, the place in it, the place of the row's end, and the values."""
-    bounds, values = _lists(batch.column(lists))
-    n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(len(row)) - bounds[row], bounds[row + 1] if len(row) else bounds[:0], values
+    def ahead(self, values: np.ndarray, k: int) -> np.ndarray:
+        """The value ``k`` places on in the same string; -1 beyond its end."""
+        at = np.arange(len(values)) + k
+        return np.where(at < self.end, values[np.minimum(at, len(values) - 1)], -1) if len(values) else values
 
+    def samples(self) -> np.ndarray:
+        """The places at 1 and 2 modulo 3, of each string those at 1 before those at 2: the strings of the next level."""
+        on = np.flatnonzero(self.j % 3)
+        return on[np.argsort(self.string[on] * 2 + self.j[on] % 3, kind="stable")]
 
-def _ahead(values: np.ndarray, k: int, end: np.ndarray) -> np.ndarray:
-    """The value ``k`` places on in the same string; -1 beyond its end."""
-    at = np.arange(len(values)) + k
-    return np.where(at < end, values[np.minimum(at, len(values) - 1)], -1) if len(values) else values
+
+def _ranked(rows: DataFrame, keys: list[str], answers: list[list[int]]) -> DataFrame:
+    """(block, place, rank) of (block, place, own, kind, <keys>), all long but int kind: own and how many rows have lesser keys, of the kinds in answers[kind].
+
+    Rows are sorted over the whole cluster, by place among equal keys, so that a frequent key
+    spreads over tasks. Each task counts from its own first row; one row for each task comes
+    to the driver, which adds what stands before. A stored table.
+    """
+    wanted = np.zeros((len(answers), len(answers)), np.int64)
+    for kind, counted in enumerate(answers):
+        wanted[kind, counted] = 1
+    out = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("rank", pa.int64()), ("slot", pa.int32()), ("task", pa.string())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        total = before = np.zeros(len(answers), np.int64)
+        first = last = None
+        groups = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(k).to_numpy() for k in keys]
+            kind = batch.column("kind").to_numpy()
+            new = np.zeros(len(kind), bool)
+            new[_firsts(*key)] = True
+            head = [int(k[0]) for k in key]
+            new[0] = head != last
+            first = first or head
+            of = kind[:, None] == np.arange(len(answers))
+            sums = np.cumsum(of, axis=0) - of + total
+            group = np.cumsum(new)
+            befores = np.concatenate((before[None], sums[new]))
+            rank = batch.column("own").to_numpy() + (befores[group] * wanted[kind]).sum(axis=1)
+            # the task's first key may have begun in an earlier one: what stands before that is not known yet
+            slot = (task * len(answers) + kind) * 2 + (group + groups == 1)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(rank), pa.array(slot, pa.int32()), pa.nulls(len(kind), pa.string())], schema=out)
+            total, before, last, groups = total + of.sum(axis=0), befores[-1], [int(k[-1]) for k in key], groups + int(group[-1])
+        if first:
+            told = json.dumps([task, first, last, groups, before.tolist(), total.tolist()])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in out][:-1], pa.array([told])], schema=out)
+
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    ordered = rows.repartitionByRange(*keys, "block", "place").sortWithinPartitions(*keys, "block", "place")
+    local = stored(ordered.select("block", "place", "own", "kind", *keys).mapInArrow(count, "block long, place long, rank long, slot int, task string"))
+    told = sorted(json.loads(r["task"]) for r in local.where("task is not null").select("task").collect())
+    base = here = np.zeros(len(answers), np.int64)
+    key, add = None, []
+    for task, first, last, groups, before, total in told:
+        here = here if first == key else base
+        for kind in range(len(answers)):
+            slot = (task * len(answers) + kind) * 2
+            add += [(slot, int(wanted[kind] @ base)), (slot + 1, int(wanted[kind] @ here))]
+        here = base + np.array(before) if groups > 1 else here
+        key, base = last, base + np.array(total)
+    bases = spark.createDataFrame(add, "slot int, more long")  # two for each task and kind
+    found = local.where("task is null").join(F.broadcast(bases), "slot").select("block", "place", (F.col("rank") + F.col("more")).alias("rank"))
+    found._stored_at = local._stored_at
+    return found
+
+
+def _back(ranked: DataFrame) -> DataFrame:
+    """``ranked`` in its blocks' partitions, ordered by place."""
+    return ranked.select("block", "place", "rank").repartition("block").sortWithinPartitions("block", "place")
+
+
+def _rank_lists(ranked: DataFrame) -> DataFrame:
+    """(block, ranks): the ranks of each block's places, in their order; rows of one place are summed."""
+
+    def whole(x: dict) -> dict:
+        first = _firsts(x["block"], x["place"])
+        block, rank = x["block"][first], np.add.reduceat(x["rank"], first)
+        at = _firsts(block)
+        return {"block": block[at], "ranks": _as_lists(at, rank)}
+
+    return _grouped(_back(ranked), "block long, ranks array<long>", whole)
+
+
+_KEYED = "block long, place long, own long, kind int, a long, b long, c long"
 
 
 def _triples(strings: DataFrame) -> DataFrame:
-    """(tid, run, path, j, a, b, c): the symbols from each place at 1 or 2 modulo 3."""
+    """The three symbols from each sample; place: its place on the next level, doubled, and one more where a string begins."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            row, j, end, values = _positions(batch, "values")
-            on = np.flatnonzero(j % 3)
-            out = {k: np.asarray(batch.column(k))[row[on]] for k in KEY} | {"j": j[on]}
-            return out | {c: _ahead(values, k, end)[on] for k, c in enumerate("abc")}
+            x = _Flat(batch)
+            on = x.samples()
+            row = x.row[on]
+            q = np.arange(len(on)) - np.searchsorted(row, row)
+            out = {"block": x.block[on], "place": 2 * q + (x.j[on] < 3), "own": np.zeros(len(on), np.int64), "kind": np.zeros(len(on), np.int32)}
+            return out | {c: x.ahead(x.values, k)[on] for k, c in enumerate("abc")}
 
         return step
 
-    return in_arrow(strings.select(*KEY, "values"), begin, "tid long, run int, path long, j int, a long, b long, c long", weigh=None)
+    return in_arrow(strings, begin, _KEYED, weigh=None)
+
 
+def _below(named: DataFrame) -> DataFrame:
+    """The strings of names: of each string the samples at 1 and those at 2 modulo 3."""
+    return _grouped(_back(named), f"block long, {STRINGS}", lambda x: _strings(x["block"], np.flatnonzero(x["place"] & 1), x["rank"]))
 
-def _compared(strings: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(tid, run, path, j, class, a, b, own, r1, r2): each place's class modulo 3, two symbols, and the samples' ranks at it, behind it and behind that; -1 where there is none."""
-    part = lambda k: ranked.where(F.col("path") % 2 == k - 1).select("tid", "run", F.floor(F.col("path") / 2).alias("path"), F.col("ranks").alias(f"ranks{k}"))
-    joined = strings.join(part(1), KEY, "left").join(part(2), KEY, "left")
+
+def _merged(strings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows to sort for the merge. Kinds 0 and 1 are places at 0 and 1 modulo 3 by a symbol and the rank behind it, kinds 2 and 3 those at 0 and 2 by two symbols and the rank behind them."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            row, j, end, values = _positions(batch, "values")
-            rank = np.full(len(values), -1, np.int64)
-            for k in (1, 2):
-                rank[j % 3 == k] = _lists(batch.column(f"ranks{k}"))[1]  # both in the order of the places
-            out = {k: np.asarray(batch.column(k))[row] for k in KEY} | {"j": j, "class": j % 3, "a": values, "b": _ahead(values, 1, end)}
-            return out | {c: _ahead(rank, k, end) for k, c in enumerate(("own", "r1", "r2"))}
+            x = _Flat(batch)
+            on = x.samples()
+            rank = np.full(len(x.values), -1, np.int64)
+            rank[on] = _lists(batch.column("ranks"))[1] if len(on) else []
+            cls = x.j % 3
+            b, r1, r2 = x.ahead(x.values, 1), x.ahead(rank, 1), x.ahead(rank, 2)
+            out: dict = {k: [] for k in ("block", "place", "own", "kind", "tag", "a", "b", "c")}
+            for kind, (c, tag) in enumerate(((0, 0), (1, 0), (0, 1), (2, 1))):
+                k = np.flatnonzero(cls == c)
+                n = np.zeros(len(k), np.int64)
+                own = n if c == 0 else rank[k]
+                for name, y in (("block", x.block[k]), ("place", x.place[k]), ("own", own), ("kind", n + kind), ("tag", n + tag), ("a", x.values[k]), ("b", b[k] if tag else r1[k]), ("c", r2[k] if tag else n)):
+                    out[name].append(y)
+            return {k: np.concatenate(v) for k, v in out.items()}
 
         return step
 
-    return in_arrow(joined.select(*KEY, "values", "ranks1", "ranks2"), begin, "tid long, run int, path long, j int, class int, a long, b long, own long, r1 long, r2 long", weigh=None)
+    return in_arrow(strings.join(ranked, "block", "left"), begin, "block long, place long, own long, kind int, tag long, a long, b long, c long", weigh=None)
 
 
 def _small_ranks(strings: DataFrame) -> DataFrame:
-    """``strings`` with ranks, sorted by doubling in one task; for up to SMALL positions."""
+    """(block, ranks), sorted by doubling in one task; for up to SMALL positions."""
 
     def sort(table: pa.Table) -> pa.Table:
-        names = table.column("values").combine_chunks()
-        size = np.diff(np.asarray(names.offsets))
-        flat = names.flatten().to_numpy(zero_copy_only=False)
-        end = np.repeat(np.cumsum(size), size)
-        rank = _ranks(flat, end)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(rank))
-        return pa.table({**{k: table.column(k) for k in KEY}, "ranks": lists})
+        batch = table.combine_chunks().to_batches()[0]
+        x = _Flat(batch)
+        return pa.table({"block": table.column("block"), "ranks": _as_lists(x.bounds[:-1], _ranks(x.values, x.end))})
 
-    return strings.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sort(t), "tid long, run int, path long, ranks array<long>")
+    return strings.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: sort(t), "block long, ranks array<long>")
 
 
 def _count_rank(*keys: np.ndarray) -> np.ndarray:
@@ -298,38 +375,32 @@ def _ranks(names: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
-    """(tid, run, path, ranks) for strings (tid long, run int, path long, values array<long>) that aren't empty.
+    """(block, ranks) for blocks of strings (block long, firsts array<int>, values array<long>, longest int); no string is empty.
 
     A rank is the number of suffixes of all strings that are less; equal suffixes have equal
-    ranks. A string's end is less than any symbol. Values are at least 0.
+    ranks. A string's end is less than any symbol. Values are at least 0. An empty table gives
+    an empty one. There are at most as many levels as the longest string has digits to base 3.
     """
-    total = strings.agg(F.sum(F.size("values")), F.max(F.size("values"))).first()
+    strings = strings.select("block", "firsts", "values", "longest")
+    total = strings.agg(F.sum(F.size("values")), F.max("longest")).first()
     if (total[0] or 0) <= small:
         return _small_ranks(strings)
     if total[1] == 1:
-        one = strings.select(*KEY, F.col("values")[0].alias("a"))
-        ranked = _prefix_counts(one.groupBy("a").agg(F.count("*").alias("n")), ["a"], ["n"])
-        return one.join(ranked, "a").select(*KEY, F.array("before_n").alias("ranks"))
-    # 1. name the triples at positions 1 and 2 modulo 3
-    triples = _triples(strings)
-    named = _prefix_counts(triples.groupBy("a", "b", "c").agg(F.count("*").alias("n")), ["a", "b", "c"], ["n"])
-    # 2. sort the strings of names: of each string the ones at 1 and at 2 modulo 3 are strings of their own
-    samples = triples.join(named, ["a", "b", "c"])
-    next_ = samples.select("tid", "run", (F.col("path") * 2 + F.col("j") % 3 - 1).alias("path"), F.floor(F.col("j") / 3).cast("int").alias("j"), "before_n")
-    below = stored(_in_order(next_, "before_n", "values"))
+        single = strings.select("block", F.posexplode("values").alias("place", "a"))
+        single = single.select("block", F.col("place").cast("long").alias("place"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("kind"), "a")
+        parts = _ranked(single, ["a"], [[0]])
+        out = stored(_rank_lists(parts))
+        drop_stored(parts)
+        return out
+    # 1. sort and name the triples at positions 1 and 2 modulo 3; 2. sort the strings of names
+    named = _ranked(_triples(strings), ["a", "b", "c"], [[0]])
+    below = stored(_below(named))
+    drop_stored(named)
     ranked = suffix_ranks(below, small)
     # 3. merge the rest: they compare with class 1 by a symbol and the rank behind it, with class 2 by two and the rank behind them
-    rows = stored(_compared(strings, ranked))
-    drop_stored(below)
-    is_ = lambda c: F.sum((F.col("class") == c).cast("long"))
-    first = _prefix_counts(rows.where("class <> 2").groupBy("a", "r1").agg(is_(0).alias("n0"), is_(1).alias("n1")), ["a", "r1"], ["n0", "n1"])
-    second = _prefix_counts(rows.where("class <> 1").groupBy("a", "b", "r2").agg(is_(0).alias("m0"), is_(2).alias("m2")), ["a", "b", "r2"], ["m0", "m2"])
-    ones = rows.where("class = 1").join(first, ["a", "r1"]).select(*KEY, "j", (F.col("own") + F.col("before_n0")).alias("rank"))
-    twos = rows.where("class = 2").join(second, ["a", "b", "r2"]).select(*KEY, "j", (F.col("own") + F.col("before_m0")).alias("rank"))
-    rest = rows.where("class = 0").join(first, ["a", "r1"]).join(second, ["a", "b", "r2"])
-    rest = rest.select(*KEY, "j", (F.col("before_n0") + F.col("before_n1") + F.col("before_m2")).alias("rank"))
-    out = stored(_in_order(ones.union(twos).union(rest), "rank", "ranks"))
-    drop_stored(rows)
+    parts = _ranked(_merged(strings, ranked), ["tag", "a", "b", "c"], [[0, 1], [0], [3], [2]])
+    out = stored(_rank_lists(parts))
+    drop_stored(below, parts, ranked)
     return out
 
 
@@ -337,66 +408,69 @@ def suffix_ranks(strings: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def _text_blocks(texts: DataFrame) -> DataFrame:
-    """(block, tids, text_hashes, copies, n_bytes, cuts, names, anchors): a row for some MB of texts, a list of each column; tids are new numbers."""
+    """(block, tids, text_hashes, reps, copies, n_bytes, cuts, names, anchors): a row for texts with about BLOCK_CUTS cuts, a list of each column; tids are new numbers."""
 
     def begin():
         task, made = TaskContext.get().partitionId(), 0
 
         def step(batch: pa.RecordBatch) -> dict:
             nonlocal made
-            made += 1
-            n, block = batch.num_rows, task << 24 | made
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
-            columns = {k: one(batch.column(c)) for k, c in (("text_hashes", "text_hash"), ("copies", "copies"), ("n_bytes", "n_bytes"), ("cuts", "cuts"), ("names", "names"), ("anchors", "anchors"))}
-            return {"block": [block], "tids": one(pa.array((block << 20) + np.arange(n)))} | columns
+            n = batch.num_rows
+            each = np.cumsum(pc.list_value_length(batch.column("cuts")).to_numpy()) // BLOCK_CUTS
+            first = _firsts(each)
+            block = (task << 20) + made + np.arange(len(first))
+            made += len(first)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), x)
+            size = np.diff(np.append(first, n))
+            tids = (np.repeat(block, size) << 16) + np.arange(n) - np.repeat(first, size)  # a batch has 20,000 rows at most
+            columns = {k: lists(batch.column(c)) for k, c in (("text_hashes", "text_hash"), ("reps", "rep"), ("copies", "copies"), ("n_bytes", "n_bytes"), ("cuts", "cuts"), ("names", "names"), ("anchors", "anchors"))}
+            return {"block": block, "tids": lists(pa.array(tids))} | columns
 
         return step
 
-    schema = "block long, tids array<long>, text_hashes array<binary>, copies array<long>, n_bytes array<long>, cuts array<array<int>>, names array<array<long>>, anchors array<array<long>>"
+    schema = "block long, tids array<long>, text_hashes array<binary>, reps array<long>, copies array<long>, n_bytes array<long>, cuts array<array<int>>, names array<array<long>>, anchors array<array<long>>"
     return in_arrow(texts, begin, schema, weigh=None)
 
 
-def _dealt_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, hashes, counts): a block's distinct anchors in a hash range, and how often it has them."""
-    limits = runs.edges(buckets)
+def _repeated_anchors(blocks: DataFrame, n_cuts: int) -> DataFrame:
+    """(block, again): a block's anchors that occur more than once in all blocks, ascending."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {"bucket": [], "block": [], "hashes": [], "counts": []}
-            for block, lists in zip(batch.column("block").to_pylist(), batch.column("anchors"), strict=True):
-                found, counts = np.unique(_lists(lists.values)[1].view(np.uint64), return_counts=True)
-                for bucket, a, b in runs.ranges(found, limits):
-                    for k, x in (("bucket", bucket), ("block", block), ("hashes", runs.packed_run(found[a:b])), ("counts", runs.packed(counts[a:b], 4))):
-                        out[k].append(x)
-            return out
+            found = [np.unique(_lists(x.values)[1], return_counts=True) for x in batch.column("anchors")]
+            block = np.repeat(np.asarray(batch.column("block")), [len(x) for x, _ in found])
+            none = [(np.zeros(0, np.int64),) * 2]
+            return {"block": block, "anchor": np.concatenate([x for x, _ in none + found]), "n": np.concatenate([n for _, n in none + found])}
 
         return step
 
-    return in_arrow(blocks.select("block", "anchors"), begin, "bucket int, block long, hashes binary, counts binary", weigh=None)
+    there = stored(in_arrow(blocks.select("block", "anchors"), begin, "block long, anchor long, n long", weigh=None).where("anchor <> 0"))
+    counts = there.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).where("n > 1").select("anchor", "blocks")
+    found = join_spread(there.select("block", "anchor"), counts, ["anchor"], "blocks", n_cuts, "block")
+    out = stored(found.groupBy("block").agg(F.array_sort(F.collect_list("anchor")).alias("again")))
+    drop_stored(there)
+    return out
 
 
-def _phrases_behind(blocks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    """(tid, i, name, start, size): phrases that begin at a cut whose anchor occurs again, or less than ``length`` bytes behind one: no other can be in a repeated passage.
+def _phrases_behind(blocks: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """(block, tid, i, name, start, size): phrases that begin at a cut whose anchor occurs again, or less than ``length`` bytes behind one: no other can be in a repeated passage.
 
     Short phrases between equal ones are left out: ``_solid`` knows what they would tell.
     """
     window = _window(length)
-    grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            out = {k: [np.zeros(0, np.int64)] for k in ("tid", "i", "name", "start", "size")}
-            for tids, cuts_, names_, anchors_, answers_ in zip(*(batch.column(k) for k in ("tids", "cuts", "names", "anchors", "answers")), strict=True):
+            out = {k: [np.zeros(0, np.int64)] for k in ("block", "tid", "i", "name", "start", "size")}
+            for block, tids, cuts_, names_, anchors_, again_ in zip(*(batch.column(k) for k in ("block", "tids", "cuts", "names", "anchors", "again")), strict=True):
                 bounds, cut = _lists(cuts_.values)
-                name, anchor = _lists(names_.values)[1], _lists(anchors_.values)[1].view(np.uint64)
-                found = np.unique(anchor)
-                again = np.concatenate([np.zeros(0, np.uint64), *[runs.unpacked(x["again"], 1) for x in answers_.as_py() or []]]) > 0
+                name, anchor = _lists(names_.values)[1], _lists(anchors_.values)[1]
                 n = np.diff(bounds)
                 text = np.repeat(np.arange(len(n)), n)
-                live = again[np.searchsorted(found, anchor)] & (anchor != 0) if len(found) else np.zeros(0, bool)
+                live = np.isin(anchor, again_.values.to_numpy())
                 # of each cut the last live one at or before it, in its text
-                last = np.maximum.accumulate(np.where(live, np.arange(len(cut)), -1)) if len(cut) else np.zeros(0, np.int64)
-                phrase = np.flatnonzero(text[:-1] == text[1:]) if len(cut) else np.zeros(0, np.int64)  # cuts that begin one, in the order of names
+                last = np.maximum.accumulate(np.where(live, np.arange(len(cut)), -1))
+                phrase = np.flatnonzero(text[:-1] == text[1:])  # cuts that begin one, in the order of names
                 at, of = last[phrase], text[phrase]
                 size = cut[phrase + 1] - cut[phrase]
                 keep = (at >= bounds[of]) & (cut[phrase] - cut[np.maximum(at, 0)] < length)
@@ -404,78 +478,67 @@ def _phrases_behind(blocks: DataFrame, answers: DataFrame, length: int) -> DataF
                 same[1:-1] = (name[1:] == name[:-1]) & (of[1:] == of[:-1])
                 keep &= ~(same[:-1] & same[1:] & (size <= window // 4))
                 k = np.flatnonzero(keep)
-                for key, x in (("tid", np.asarray(tids.values)[of[k]]), ("i", phrase[k] - bounds[of[k]]), ("name", name[k]), ("start", cut[phrase[k]]), ("size", size[k])):
+                for key, x in (("block", np.full(len(k), block.as_py())), ("tid", np.asarray(tids.values)[of[k]]), ("i", phrase[k] - bounds[of[k]]), ("name", name[k]), ("start", cut[phrase[k]]), ("size", size[k])):
                     out[key].append(x)
             return {k: np.concatenate(v) for k, v in out.items()}
 
         return step
 
-    joined = blocks.select("block", "tids", "cuts", "names", "anchors").join(grouped, "block", "left")
-    return in_arrow(joined, begin, "tid long, i int, name long, start int, size int", weigh=None)
+    joined = blocks.select("block", "tids", "cuts", "names", "anchors").join(repeated, "block")
+    return in_arrow(joined, begin, "block long, tid long, i int, name long, start int, size int", weigh=None)
 
 
 def _runs(repeated: DataFrame) -> DataFrame:
-    """(tid, run, path, values, starts, sizes) of (tid, i, name, start, size): stretches of consecutive phrases; run is the first one's number."""
+    """Blocks of strings, with tids of the strings, starts and sizes of the phrases: stretches of consecutive phrases of (block, tid, i, name, start, size)."""
 
     def whole(x: dict) -> dict:
-        first = _firsts(x["tid"], x["i"] - np.arange(len(x["i"])))
-        out = {"tid": x["tid"][first], "run": x["i"][first], "path": np.zeros(len(first), np.int64)}
-        return out | {"values": _as_lists(first, x["name"]), "starts": _as_lists(first, x["start"]), "sizes": _as_lists(first, x["size"])}
-
-    rows = _by_text(repeated.select("tid", "i", "name", "start", "size"), "tid", "i")
-    return _grouped(rows, ["tid"], "tid long, run int, path long, values array<long>, starts array<int>, sizes array<int>", whole)
+        heads, first = _firsts(x["tid"], x["i"] - np.arange(len(x["i"]))), _firsts(x["block"])
+        out = _strings(x["block"], heads, x["name"])
+        tids = pa.ListArray.from_arrays(out["firsts"].offsets, pa.array(x["tid"][heads]))
+        return out | {"tids": tids, "starts": _as_lists(first, x["start"]), "sizes": _as_lists(first, x["size"])}
 
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and values of a column of lists."""
-    at = np.asarray(column.offsets).astype(np.int64)
-    return at - at[0], column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+    rows = repeated.select("block", "tid", "i", "name", "start", "size").repartition("block").sortWithinPartitions("block", "tid", "i")
+    return _grouped(rows, f"block long, {STRINGS}, tids array<long>, starts array<int>, sizes array<int>", whole)
 
 
-def _heads(joined: DataFrame, enough: int) -> DataFrame:
-    """(tid, run, j, start, rank, to_end): each phrase of a run, and the bytes from it to the run's end, ``enough`` at most."""
+def _heads(joined: DataFrame) -> DataFrame:
+    """(block, place, rank) of each phrase."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            bounds, sizes = _lists(batch.column("sizes"))
-            n = np.diff(bounds)
-            row = np.repeat(np.arange(len(n)), n)
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            to_end = np.minimum(ends[bounds[1:]][row] - ends[:-1], enough)
-            one = lambda k: np.asarray(batch.column(k))[row]
-            return {"tid": one("tid"), "run": one("run"), "j": np.arange(len(row)) - bounds[row], "start": _lists(batch.column("starts"))[1], "rank": _lists(batch.column("ranks"))[1], "to_end": to_end}
+            x = _Flat(batch)
+            return {"block": x.block, "place": x.place, "rank": _lists(batch.column("ranks"))[1]}
 
         return step
 
-    return in_arrow(joined.select("tid", "run", "starts", "sizes", "ranks"), begin, "tid long, run int, j int, start int, rank long, to_end int", weigh=None)
+    return in_arrow(joined.select("block", "firsts", "values", "ranks"), begin, "block long, place int, rank long", weigh=None)
 
 
 def _prefixes(strings: DataFrame, wanted: DataFrame, enough: int) -> DataFrame:
-    """(rank, n, values, sizes): for the phrases ``wanted`` of each run, the phrases from there on until they have ``enough`` bytes."""
+    """(block, place, rank, n, values, sizes): for the places ``wanted`` of each block, the phrases from there on until they have ``enough`` bytes."""
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            bounds, sizes = _lists(batch.column("sizes"))
-            values = _lists(batch.column("values"))[1]
+            x = _Flat(batch)
+            sizes = _lists(batch.column("sizes"))[1]
             asked, _ = _lists(batch.column("asked"))
-            of = np.repeat(np.arange(batch.num_rows), np.diff(asked))
             flat = batch.column("asked").flatten()
-            first = bounds[of] + flat.field("j").to_numpy()
+            first = np.repeat(x.bounds[:-1], np.diff(asked)) + flat.field("place").to_numpy()
             ends = np.cumsum(sizes)
-            last = np.minimum(np.searchsorted(ends, ends[first] - sizes[first] + enough) + 1, bounds[of + 1])
+            last = np.minimum(np.searchsorted(ends, ends[first] - sizes[first] + enough) + 1, x.end[first])
             n = last - first
             at, to = ragged(first, n), pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            return {"rank": flat.field("rank"), "n": flat.field("n"), "values": pa.ListArray.from_arrays(to, pa.array(values[at])), "sizes": pa.ListArray.from_arrays(to, pa.array(sizes[at]))}
+            return {"block": x.block[first], "place": flat.field("place"), "rank": flat.field("rank"), "n": flat.field("n"), "values": pa.ListArray.from_arrays(to, pa.array(x.values[at])), "sizes": pa.ListArray.from_arrays(to, pa.array(sizes[at]))}
 
         return step
 
-    asked = wanted.groupBy("tid", "run").agg(F.collect_list(F.struct("j", "rank", "n")).alias("asked"))
-    joined = strings.select("tid", "run", "values", "sizes").join(asked, ["tid", "run"])
-    return in_arrow(joined.select("values", "sizes", "asked"), begin, "rank long, n long, values array<long>, sizes array<int>", weigh=None)
+    asked = wanted.groupBy("block").agg(F.collect_list(F.struct("place", "rank", "n")).alias("asked"))
+    joined = strings.select("block", "firsts", "values", "sizes").join(asked, "block")
+    return in_arrow(joined, begin, "block long, place int, rank long, n long, values array<long>, sizes array<int>", weigh=None)
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Bytes that classes of suffixes share with the ones beside them in the array."""
+    """(block, place, shared) of the suffixes equal to no other: bytes that they share with the ones beside them in the array."""
     table = table.combine_chunks().sort_by("rank")
     rank, n = table.column("rank").to_numpy(), table.column("n").to_numpy()
     bounds, values = _lists(table.column("values").combine_chunks())
@@ -491,23 +554,44 @@ def _compare(table: pa.Table) -> pa.Table:
         on = on[same]
         shared[on] += sizes[a[same]]
         k += 1
-    some = shared > 0
-    return pa.table({"rank": np.concatenate((rank[pair[some]], rank[pair[some] + 1])), "shared": pa.array(np.tile(shared[some], 2), pa.int32())})
+    most = np.zeros(len(rank), np.int64)
+    np.maximum.at(most, pair, shared)
+    np.maximum.at(most, pair + 1, shared)
+    alone = pa.array(n == 1)
+    return pa.table({"block": table.column("block").filter(alone), "place": table.column("place").filter(alone), "shared": pa.array(most[n == 1], pa.int32())})
 
 
 def _reach(strings: DataFrame, ranks: DataFrame, enough: int) -> DataFrame:
-    """(tid, start, reach): for each phrase the bytes of whole phrases from its start that occur elsewhere too; ``enough`` at most."""
-    heads = stored(_heads(strings.join(ranks, KEY), enough))
+    """(tid, starts, reach): of each text the phrases' starts and the bytes of whole phrases from there that occur elsewhere too; ``enough`` at most. A stored table."""
     # one phrase stands for all with its rank: their suffixes are equal
-    classes = stored(heads.groupBy("rank").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("tid", "run", "j")]))
+    classes = stored(_heads(strings.join(ranks, "block")).groupBy("rank").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("block", "place")]))
     at = lambda c: F.floor(c / ADJACENT)
     # a class goes where it stands, and where its successor stands
     dealt = _prefixes(strings, classes, enough).select("*", F.explode(F.array_distinct(F.array(at(F.col("rank")), at(F.col("rank") + F.col("n"))))).alias("bucket"))
-    pairs = dealt.groupBy("bucket").applyInArrow(_compare, "rank long, shared int").groupBy("rank").agg(F.max("shared").alias("shared"))
-    known = classes.select("rank", "n").join(pairs, "rank", "left")
-    out = heads.select("tid", "start", "rank", "to_end").join(known, "rank")
-    reach = F.when(F.col("n") > 1, F.col("to_end")).otherwise(F.least(F.coalesce("shared", F.lit(0)), F.col("to_end")))
-    return out.select("tid", "start", reach.alias("reach")).where("reach > 0")
+    alone = dealt.groupBy("bucket").applyInArrow(_compare, "block long, place int, shared int")
+    alone = alone.groupBy("block").agg(F.collect_list(F.struct("place", "shared")).alias("alone"))
+
+    def begin():
+        def step(batch: pa.RecordBatch) -> dict:
+            x = _Flat(batch)
+            ends = np.concatenate(([0], np.cumsum(_lists(batch.column("sizes"))[1])))
+            reach = np.minimum(ends[x.end] - ends[:-1], enough)  # a suffix with an equal one repeats to its string's end
+            told = batch.column("alone")
+            first = np.repeat(x.bounds[:-1], pc.fill_null(pc.list_value_length(told), 0).to_numpy())
+            at = first + told.flatten().field("place").to_numpy()
+            shared = np.zeros(len(reach), np.int64)
+            np.maximum.at(shared, at, told.flatten().field("shared").to_numpy())
+            reach[at] = np.minimum(reach[at], shared[at])
+            on = np.flatnonzero(reach > 0)
+            tid = _lists(batch.column("tids"))[1][x.string[on]]
+            head = _firsts(tid) if len(on) else on
+            return {"tid": tid[head], "starts": _as_lists(head, _lists(batch.column("starts"))[1][on]), "reach": _as_lists(head, reach[on].astype(np.int32))}
+
+        return step
+
+    out = stored(in_arrow(strings.join(alone, "block", "left"), begin, "tid long, starts array<int>, reach array<int>", weigh=None))
+    drop_stored(classes)
+    return out
 
 
 def _leasts(data: np.ndarray, window: int) -> np.ndarray:
@@ -603,38 +687,37 @@ def _removed(n: int, starts: np.ndarray, reach: np.ndarray, places: np.ndarray,
 
 
 def repeats(docs: DataFrame, length: int = 400, small: int = SMALL, read: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, text_hash, n_bytes, sha256), and per text with something to remove (text_hash, n_removed, n_spans, kept_sha256, edges)."""
+    """Per row (doc_id, text_hash, n_bytes, sha256), and per text with something to remove (text_hash, copies, n_removed, n_spans, kept_sha256, edges); empty input gives empty tables."""
     window = _window(length)
     held = stored(phrases(docs, length, read))
-    texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.any_value(F.struct("n_bytes", "cuts", "names", "anchors")).alias("x"))
-    known = stored(_text_blocks(texts.select("text_hash", "copies", "x.*")))
-    zipped = F.explode(F.arrays_zip("tids", "text_hashes", "copies", "n_bytes")).alias("x")
-    texts = known.select(zipped).select(F.col("x.tids").alias("tid"), F.col("x.text_hashes").alias("text_hash"), "x.copies", "x.n_bytes")
+    texts = held.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.any_value(F.struct("n_bytes", "cuts", "names", "anchors")).alias("x"))
+    known = stored(_text_blocks(texts.select("text_hash", "rep", "copies", "x.*")))
+    zipped = F.explode(F.arrays_zip("tids", "text_hashes", "reps", "copies", "n_bytes")).alias("x")
+    texts = known.select(zipped).select(F.col("x.tids").alias("tid"), F.col("x.text_hashes").alias("text_hash"), F.col("x.reps").alias("rep"), "x.copies", "x.n_bytes")
     n_cuts = known.select(F.sum(F.aggregate("anchors", F.lit(0).cast("long"), lambda n, x: n + F.size(x)))).first()[0] or 0
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers = _answers(_dealt_anchors(known, max(partitions, -(-n_cuts // BUCKET_HASHES))))
-    behind = stored(_phrases_behind(known, answers, length))
-    drop_stored(answers)
-    again = behind.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(1).cast("long").alias("n"))
-    numbered = _prefix_counts(again, ["name"], ["n"]).select("name", F.col("before_n").alias("number"))
-    strings = stored(_runs(behind.join(numbered, "name").select("tid", "i", F.col("number").alias("name"), "start", "size")))
-    drop_stored(behind)
-    ranks = suffix_ranks(strings.select(*KEY, "values"), small)
-    reach = stored(_reach(strings, ranks, length + window).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("start", "reach"))).alias("reach")))
-    drop_stored(strings)
-    wanted = texts.join(reach, "tid").select("text_hash", "tid", "copies", "n_bytes", "reach")
+    repeated = _repeated_anchors(known, n_cuts)
+    behind = stored(_phrases_behind(known, repeated, length))
+    again = behind.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    strings = stored(_runs(join_spread(behind, again, ["name"], "n", n_cuts, "start")))
+    drop_stored(behind, repeated)
+    ranks = suffix_ranks(strings, small)
+    reach = _reach(strings, ranks, length + window)
+    drop_stored(strings, ranks)
+    wanted = texts.join(reach, "tid").select("text_hash", "rep", "copies", "n_bytes", "starts", "reach")
     size = wanted.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(partitions, -(-size // BUCKET_BYTES))
-    texts_of = stored(_blocks(_with_texts(docs, wanted, read), read))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    texts_of = stored(_blocks(_with_texts(docs, wanted), read))
     drop_stored(reach)
     blocks = stored(_with_masks(texts_of, length, window))
     drop_stored(texts_of)
     answers = _answers(_dealt(blocks, buckets, length, window))
     grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "again"))).alias("answers"))
-    cut = in_arrow(blocks.join(grouped, "block", "left"), lambda: _cut_step(length, window), "text_hash binary, n_removed long, n_spans int, kept_sha256 string, edges array<int>", weigh=None)
+    cut = in_arrow(blocks.join(grouped, "block", "left"), lambda: _cut_step(length, window), "text_hash binary, copies long, n_removed long, n_spans int, kept_sha256 string, edges array<int>", weigh=None)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    whole = texts.where("copies > 1").select("text_hash", F.col("n_bytes").alias("n_removed"), F.lit(1).alias("n_spans"), nothing.alias("kept_sha256"), F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("edges"))
-    return held.select("doc_id", "text_hash", "n_bytes", "sha256"), cut.union(whole)
+    whole = texts.where("copies > 1").select("text_hash", "copies", F.col("n_bytes").alias("n_removed"), F.lit(1).alias("n_spans"), nothing.alias("kept_sha256"), F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("edges"))
+    removed = stored(cut.union(whole))
+    drop_stored(known, blocks, answers)
+    return held.select("doc_id", "text_hash", "n_bytes", "sha256"), removed
 
 
 def _hashed(docs: DataFrame, read: Callable | None = None) -> DataFrame:
@@ -653,13 +736,23 @@ def _hashed(docs: DataFrame, read: Callable | None = None) -> DataFrame:
     return in_arrow(docs, begin, StructType([*docs.schema, StructType().add("_hash", BinaryType())[0]]))
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame, read: Callable | None = None) -> DataFrame:
-    """``wanted`` with its texts. Copies of one come as often as there are: all their passages occur again, as that would have it."""
-    return _hashed(docs.select("text"), read).join(wanted, F.col("_hash") == F.col("text_hash")).drop("_hash")
+def _with_edges(docs: DataFrame, rows: DataFrame, removed: DataFrame, read: Callable | None = None) -> DataFrame:
+    """``docs``, all columns, and _edges, those of what is removed from the text; null if nothing is."""
+    edges = removed.select(F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"), F.col("edges").alias("_edges"))
+    return join_spread(_hashed(docs, read), edges, ["_hash"], "_copies", rows.count(), "doc_id", "left").drop("_hash", "_copies")
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with texts of its doc_ids: that of the text_hash, and others if a doc_id has more than one."""
+    return docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
 
 
 def _blocks(rows: DataFrame, read: Callable | None = None) -> DataFrame:
-    """(block, texts): a row for some MB of texts, with what is known of each."""
+    """(block, texts): a row for some MB of texts, with what is known of each; texts with another hash than asked for are left out.
+
+    One of a text's copies stands for all, or more where copies have one doc_id: all their
+    passages occur again anyhow.
+    """
     kind = "array<struct<text_hash:binary,copies:long,text:string,starts:array<int>,reach:array<int>>>"
 
     def begin():
@@ -671,12 +764,12 @@ def _blocks(rows: DataFrame, read: Callable | None = None) -> DataFrame:
             texts = batch.to_pylist()
             if read:
                 texts = [t | {"text": x} for t, x in zip(texts, read([t["text"] for t in texts]), strict=True)]
+            texts = [t for t in texts if xxhash.xxh3_128_digest((t["text"] or "").encode()) == t["text_hash"]]
             return {"block": [task << 32 | made], "texts": [texts]}
 
         return step
 
-    flat = rows.select("text_hash", "copies", "text", "reach.start", "reach.reach").toDF("text_hash", "copies", "text", "starts", "reach")
-    return in_arrow(flat, begin, f"block long, texts {kind}")
+    return in_arrow(rows.select("text_hash", "copies", "text", "starts", "reach"), begin, f"block long, texts {kind}").where("size(texts) > 0")
 
 
 def _anchored(t: dict, length: int, window: int):
@@ -741,7 +834,8 @@ def _dealt(blocks: DataFrame, buckets: int, length: int, window: int) -> DataFra
         def step(batch: pa.RecordBatch) -> dict:
             out = {"bucket": [], "block": [], "hashes": [], "counts": []}
             for row in batch.to_pylist():
-                found, counts = np.unique(np.concatenate([x[-1] for x in _places_of(row, length, window)]), return_counts=True)
+                places = [(x[0]["copies"], x[-1]) for x in _places_of(row, length, window)]
+                found, counts = np.unique(np.concatenate([x for copies, x in places for _ in range(min(copies, 2))]), return_counts=True)
                 for bucket, a, b in runs.ranges(found, limits):
                     for k, x in (("bucket", bucket), ("block", row["block"]), ("hashes", runs.packed_run(found[a:b])), ("counts", runs.packed(counts[a:b], 4))):
                         out[k].append(x)
@@ -764,7 +858,7 @@ def _answers(dealt: DataFrame) -> DataFrame:
 
 def _cut_step(length: int, window: int) -> Callable:
     def step(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("text_hash", "n_removed", "n_spans", "kept_sha256", "edges")}
+        out = {k: [] for k in ("text_hash", "copies", "n_removed", "n_spans", "kept_sha256", "edges")}
         for row in batch.to_pylist():
             texts = list(_places_of(row, length, window))
             found = np.unique(np.concatenate([x[-1] for x in texts]))
@@ -775,7 +869,7 @@ def _cut_step(length: int, window: int) -> Callable:
                 edges = _removed(len(data), starts, reach, at[again[np.searchsorted(found, hashes)]], length)
                 if len(edges):
                     kept = hashlib.sha256(_kept(data.tobytes(), edges.tolist())).hexdigest()
-                    for k, x in (("text_hash", t["text_hash"]), ("n_removed", int((edges[1::2] - edges[::2]).sum())), ("n_spans", len(edges) // 2), ("kept_sha256", kept), ("edges", edges)):
+                    for k, x in (("text_hash", t["text_hash"]), ("copies", 1), ("n_removed", int((edges[1::2] - edges[::2]).sum())), ("n_spans", len(edges) // 2), ("kept_sha256", kept), ("edges", edges)):
                         out[k].append(x)
         return out
 
@@ -796,22 +890,19 @@ def report(docs: DataFrame, length: int = 400, small: int = SMALL) -> DataFrame:
     one. Columns but doc_id and text are left out.
     """
     rows, removed = repeats(docs, length, small)
-    out = rows.join(removed.drop("edges"), "text_hash", "left")
+    out = join_spread(rows, removed.drop("edges"), ["text_hash"], "copies", rows.count(), "doc_id", "left")
     zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, small: int = SMALL) -> DataFrame:
     """``docs``, all columns, with the repeated passages cut out of text; what a cut leaves of a character goes too. Rows of which nothing is left but white space are dropped if something was cut."""
-    _, removed = repeats(docs, length, small)
-    removed = removed.select("text_hash", "edges")
-    out = _hashed(docs).join(removed, F.col("_hash") == F.col("text_hash"), "left").drop("_hash", "text_hash")
-    names = docs.columns
+    out, names = _with_edges(docs, *repeats(docs, length, small)), docs.columns
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            texts = [t if e is None else _kept(t.encode(), e).decode("utf-8", "ignore") for t, e in zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist(), strict=True)]
-            stay = pa.array([e is None or bool(t.strip()) for t, e in zip(texts, batch.column("edges").to_pylist(), strict=True)])
+            texts = [t if e is None else _kept(t.encode(), e).decode("utf-8", "ignore") for t, e in zip(batch.column("text").to_pylist(), batch.column("_edges").to_pylist(), strict=True)]
+            stay = pa.array([e is None or bool(t.strip()) for t, e in zip(texts, batch.column("_edges").to_pylist(), strict=True)])
             return {k: (pa.array(texts, pa.string()) if k == "text" else batch.column(k)).filter(stay) for k in names}
 
         return step
@@ -854,14 +945,11 @@ def without_repeated_words(docs: DataFrame, words: int = 51, small: int = SMALL)
     Rows of which nothing is left but white space are dropped if something was cut.
     """
 
-    _, removed = repeats(docs, words * _CODE, small, _coded)
-    names = docs.columns
-
-    out = _hashed(docs, _coded).join(removed.select("text_hash", "edges"), F.col("_hash") == F.col("text_hash"), "left").drop("_hash", "text_hash")
+    out, names = _with_edges(docs, *repeats(docs, words * _CODE, small, _coded), _coded), docs.columns
 
     def begin():
         def step(batch: pa.RecordBatch) -> dict:
-            edges = batch.column("edges").to_pylist()
+            edges = batch.column("_edges").to_pylist()
             before = batch.column("text").to_pylist()
             texts = [t if e is None else _without_words(t, e, words) for t, e in zip(before, edges, strict=True)]
             stay = pa.array([t == x or bool(t.strip()) for t, x in zip(texts, before, strict=True)])

@@ -61,7 +61,7 @@ def test_links_of_dense_groups(spark, monkeypatch, block):
             if bin(fps[i] ^ fps[j]).count("1") <= 4:
                 a, b = find(parent, i), find(parent, j)
                 parent[max(a, b)] = min(a, b)
-    links = simhash.links(spark.createDataFrame(rows, "fp long")).collect()
+    links = simhash.links(spark.createDataFrame([(0, *r) for r in rows], "t long, fp long")).collect()
     mine, at = list(range(len(fps))), {x & (1 << 64) - 1: k for k, x in enumerate(fps)}
     for r in links:
         x, y = r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1
@@ -94,10 +94,7 @@ def test_near_duplicates(spark):
             assert r["component_id"] is None
         else:
             assert r["component_id"] == want[r["doc_id"]] and r["fp"] & (1 << 64) - 1 == dict(named)[r["doc_id"]]
-    kept = simhash.keep_one(df, 4, 4)
-    assert kept.columns == df.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({**{d: 1 for d, c in want.items() if d == c}, None: 2})
-    assert simhash.near_duplicates(cases.empty(spark)).count() == simhash.keep_one(cases.empty(spark)).count() == 0
+    assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
 def removed(rows, length):
@@ -143,14 +140,17 @@ def test_repeated_passages(spark, length, small):
 def test_suffix_ranks(spark):
     rng = random.Random(5)
     strings = [[rng.choice([0, 1]) for _ in range(rng.randint(1, 20))] for _ in range(25)]
-    df = spark.createDataFrame([(k, 0, 0, s) for k, s in enumerate(strings)], "tid long, run int, path long, values array<long>")
+    blocks = [strings[k : k + 4] for k in range(0, len(strings), 4)]
+    rows = [(k, [sum(map(len, b[:i])) for i in range(len(b))], sum(b, []), max(map(len, b))) for k, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "block long, firsts array<int>, values array<long>, longest int").repartition(3)
     suffixes = sorted(s[i:] for s in strings for i in range(len(s)))
     least = {}
     for k, x in enumerate(suffixes):
         least.setdefault(tuple(x), k)
-    for small in (10**6, 100):
-        got = {r["tid"]: r["ranks"] for r in sd.suffix_ranks(df, small).collect()}
-        assert all(got[k] == [least[tuple(s[j:])] for j in range(len(s))] for k, s in enumerate(strings))
+    for small in (10**6, 100, 3):
+        got = {r["block"]: r["ranks"] for r in sd.suffix_ranks(df, small).collect()}
+        assert all(got[k] == [least[tuple(s[j:])] for s in b for j in range(len(s))] for k, b in enumerate(blocks))
+    assert sd.suffix_ranks(df.limit(0)).count() == 0
 
 
 def test_passages_are_cut_out(spark):
@@ -198,9 +198,9 @@ def jaccard(a, b):
 def test_near_duplicates_of_similarity(spark, monkeypatch, block):
     """The pipeline's stage against brute force: copies of similarity 0.8 to 0.95, ones a little below 0.8, and a large group of them."""
     import corpus_pipeline as cp
-    from paperloom.llm import minhash
+    from paperloom.llm import jaccard as exact
 
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(exact, "BLOCK", block)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
     texts = []
@@ -225,14 +225,12 @@ def test_near_duplicates_of_similarity(spark, monkeypatch, block):
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    from paperloom.llm import minhash
-
     rows = cases.rows()
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(cases.table(spark)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(cases.table(spark)).collect()}
     assert len({got[r[0]] for r in rows if r[0] is not None and not (r[1] or "").encode().split()}) == 1
     assert set(got) == {r[0] for r in rows} and got[None] is None and got[49] == got[50] == 3
-    assert minhash.keep_one(cases.table(spark)).columns == cases.table(spark).columns
-    assert minhash.near_duplicates(cases.empty(spark)).count() == minhash.keep_one(cases.empty(spark)).count() == 0
+    assert simhash.keep_one(cases.table(spark)).columns == cases.table(spark).columns
+    assert simhash.similar(cases.empty(spark)).count() == simhash.keep_one(cases.empty(spark)).count() == 0
 
 
 def test_passages_of_over_50_short_words(spark):
