@@ -131,10 +131,16 @@ def strip_references(text: Column, parts: Column, quirks: str = "reference") ->
     ``quirks="reference"`` deletes ranges one after another from the last, which takes further
     lines where they overlap; ``"fixed"`` deletes their union.
     """
+    found = F.filter(parts, lambda s: is_references(s["heading_text"], quirks) & (s["start_line"] < s["section_end"]))
+    found = F.transform(found, lambda s: F.struct(s["start_line"].alias("a"), s["section_end"].alias("b")))
+    # the ranges are bound, or else each line would look for them anew
+    return F.get(F.transform(F.array(found), lambda ranges: F.when(F.size(ranges) > 0, _without(text, ranges, quirks)).otherwise(text)), 0)
+
+
+def _without(text: Column, ranges: Column, quirks: str) -> Column:
     rows = lines(text)
-    ranges = F.filter(parts, lambda s: is_references(s["heading_text"], quirks) & (s["start_line"] < s["section_end"]))
     if quirks == "reference":
-        ordered = F.reverse(F.array_sort(F.transform(ranges, lambda s: F.struct(s["start_line"].alias("a"), s["section_end"].alias("b")))))
+        ordered = F.reverse(F.array_sort(ranges))
 
         def delete(acc: Column, r: Column) -> Column:
             end = F.least(r["b"], F.size(acc))
@@ -142,10 +148,9 @@ def strip_references(text: Column, parts: Column, quirks: str = "reference") ->
 
         left = F.aggregate(ordered, rows, delete)
     else:
-        kept = F.transform(rows, lambda x, i: F.when(~F.exists(ranges, lambda s: (s["start_line"] <= i) & (i < s["section_end"])), x))
+        kept = F.transform(rows, lambda x, i: F.when(~F.exists(ranges, lambda s: (s["a"] <= i) & (i < s["b"])), x))
         left = F.array_compact(kept)
-    joined = F.concat(F.array_join(left, "\n"), F.when(text.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
-    return F.when(F.size(ranges) > 0, joined).otherwise(text)
+    return F.concat(F.array_join(left, "\n"), F.when(text.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
 
 
 def title_for_context(front: Column, heads: Column, quirks: str = "reference") -> Column:

@@ -116,6 +116,17 @@ def _mask_counts(key: str, source: str, text: str) -> str:
     return inner
 
 
+def _numbered_masks(key: str, source: str, text: str) -> str:
+    """Each class's spans replaced by numbered masks in turn; n: how many there are so far. A mask that later spans hold is put back in none of them."""
+    inner = f"SELECT {key}, {text} AS t0, CAST(0 AS BIGINT) AS n0, CAST([] AS VARCHAR[]) AS spans0, CAST([] AS VARCHAR[]) AS originals0 FROM {source}"
+    for k, (name, pattern, _) in enumerate(PATTERNS):
+        mask = f"'⟦{name}_' || (n{k} + i) || '⟧'"
+        cut = f"SELECT *, string_split_regex(t{k}, {_q(pattern)}) AS p{k}, regexp_extract_all(t{k}, {_q(pattern)}) AS m{k} FROM ({inner})"
+        inner = f"""SELECT *, array_to_string(list_transform(range(1, len(p{k}) + 1), lambda i: p{k}[i] || CASE WHEN i <= len(m{k}) THEN {mask} ELSE '' END), '') AS t{k + 1}, n{k} + len(m{k}) AS n{k + 1},
+            list_concat(spans{k}, list_transform(range(1, len(m{k}) + 1), lambda i: {mask} || ' ' || m{k}[i])) AS spans{k + 1}, list_concat(originals{k}, m{k}) AS originals{k + 1} FROM ({cut})"""
+    return inner
+
+
 _LAST_MASK = len(PATTERNS)
 _SHOWN = f"CASE WHEN doc_id % 2 = 0 AND {_FIRST_LINE} <> '' THEN {_FIRST_LINE} ELSE replace({_sanitized(_FIRST_LINE)}, '_', ' ') END"
 
@@ -165,7 +176,7 @@ ORACLE: dict[str, str] = {
     "q19_dup_check": f"""
     WITH t AS (SELECT * FROM {_TITLES}),
     known AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN title ELSE regexp_replace(title, '^{DIGIT}{{8}}-', '') END AS k FROM t WHERE doc_id % 2 = 0)
-    SELECT doc_id, title AS title_key, title IN (SELECT k FROM known) OR row_number() OVER (PARTITION BY title ORDER BY doc_id) > 1 AS is_duplicate FROM t WHERE doc_id % 2 = 1""",
+    SELECT doc_id, title AS title_key, title IN (SELECT k FROM known) OR row_number() OVER (PARTITION BY title ORDER BY doc_id) > 1 AS is_duplicate FROM t""",
     "q20_frontmatter_render": f"""
     SELECT doc_id, md5('---' || chr(10) || 'title: "' || {_SHOWN} || '"' || chr(10) || 'date_ingested: {fixtures.RUN_DATE}' || chr(10) || 'source_pdf: reference.pdf' || chr(10) || 'conversion_engine: mineru' || chr(10) || 'tags:' || chr(10) || '  - paper' || chr(10) || '  - inbox' || chr(10) || 'aliases: []' || chr(10) || '---' || chr(10) || chr(10)) AS digest,
         '20260131-' || {_sanitized(_FIRST_LINE)} AS folder FROM documents""",
@@ -183,7 +194,10 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, md5(title) AS title_digest, md5(abstract) AS abstract_digest, md5(CASE WHEN nullif(title, '') IS NULL THEN NULL WHEN abstract IS NULL THEN 'Title: ' || title ELSE 'Title: ' || title || chr(10) || 'Abstract:' || chr(10) || abstract END) AS context_digest FROM x""",
     "q26_mask_counts": f"SELECT * EXCLUDE ({', '.join(f't{k}' for k in range(_LAST_MASK + 1))}) FROM ({_mask_counts('doc_id', _BODIES, 'body')})",
     "q26_mask_counts_html": f"SELECT * EXCLUDE ({', '.join(f't{k}' for k in range(_LAST_MASK + 1))}) FROM ({_mask_counts('page_id', 'pages', 'html')})",
-    "q27_mask_roundtrip": f"SELECT doc_id, md5(body) AS digest FROM {_BODIES}",
+    "q27_mask_roundtrip": f"""
+    SELECT doc_id, md5(t{_LAST_MASK}) AS masked_digest, n{_LAST_MASK} AS n_spans, md5(array_to_string(spans{_LAST_MASK}, chr(10))) AS spans_digest, md5(t0) AS fixed_digest,
+        md5(array_to_string(list_transform(range(1, len(left_) + 1), lambda i: left_[i] || CASE WHEN i <= len(back) THEN originals{_LAST_MASK}[CAST(back[i] AS INT)] ELSE '' END), '')) AS reference_digest
+    FROM (SELECT *, string_split_regex(t{_LAST_MASK}, '⟦[A-Z_]+_[0-9]+⟧') AS left_, regexp_extract_all(t{_LAST_MASK}, '⟦[A-Z_]+_([0-9]+)⟧', 1) AS back FROM ({_numbered_masks('doc_id', _BODIES, 'body')}))""",
     "q28_greedy_chunks": """
     WITH RECURSIVE p AS (SELECT doc_id, i, ps[i] AS para FROM (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+') AS ps FROM documents), range(1, len(ps) + 1) t(i)),
     f AS (SELECT doc_id, i, para, CAST(0 AS BIGINT) AS k, CAST(length(para) + 2 AS BIGINT) AS n FROM p WHERE i = 1
@@ -201,7 +215,7 @@ ORACLE: dict[str, str] = {
     "q33_throughput": "SELECT doc_id, CASE WHEN pages > 0 AND doc_id % 7 > 0 THEN round(pages / CAST(doc_id % 7 AS DOUBLE), 2) END AS pages_per_second FROM (SELECT doc_id, CAST(ceil(n_chars / 3000) AS INT) AS pages FROM documents)",
     "q34_api_decode": """
     SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'paper_' || doc_id WHEN 1 THEN 'first' ELSE 'zz' END AS api_stem,
-        md5(CASE WHEN doc_id % 3 = 1 THEN 'only' ELSE '![a](./assets/image_001.png) ![b](./assets/image_003.jpg) ' || substr(text, 1, 30) END) AS digest,
+        md5(CASE WHEN doc_id % 3 = 1 THEN 'only' ELSE '![a](./assets/image_001.png) ![b](./assets/image_003.jpg) ' || text END) AS digest,
         CAST(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END AS INT) AS n_images, CASE WHEN doc_id % 3 = 1 THEN '' ELSE 'image_001.png,image_003.jpg' END AS names,
         CASE WHEN doc_id % 3 <> 1 THEN 'image ' || doc_id END AS first_bytes, CAST(NULL AS VARCHAR) AS api_error FROM documents""",
 }

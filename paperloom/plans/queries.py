@@ -210,7 +210,7 @@ def q19_dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _titles(spark, sf_dir)
     dirs = named.where("doc_id % 2 = 0").select(F.concat(F.when(F.col("doc_id") % 4 == 0, F.lit("20260131-")).otherwise(F.lit("")), "title").alias("dir_name"))
     known = dirs.select(catalog.title_key(F.col("dir_name")).alias("title_key"))
-    incoming = named.where("doc_id % 2 = 1").select("doc_id", F.col("title").alias("title_key"))
+    incoming = named.select("doc_id", F.col("title").alias("title_key"))
     return catalog.split_duplicates(incoming, known, "doc_id").select("doc_id", "title_key", "is_duplicate")
 
 
@@ -277,7 +277,9 @@ def q26_mask_counts_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def q27_mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = masking.with_masks(_bodies(spark, sf_dir).select("doc_id", "body"), "body")
-    return rows.select("doc_id", F.md5(masking.unmask(F.col("masked"), F.col("spans"), "fixed")).alias("digest"))
+    back = {q: F.md5(masking.unmask(F.col("masked"), F.col("spans"), q)).alias(f"{q}_digest") for q in ("fixed", "reference")}
+    shown = F.concat_ws("\n", F.transform("spans", lambda s: F.concat_ws(" ", s["placeholder"], s["original"])))
+    return rows.select("doc_id", F.md5("masked").alias("masked_digest"), F.size("spans").cast("long").alias("n_spans"), F.md5(shown).alias("spans_digest"), *back.values())
 
 
 @_query
@@ -330,7 +332,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     image = F.base64(F.concat(F.lit("image "), n).cast("binary"))
     quoted = lambda c: F.to_json(F.struct(c.alias("v")))
-    md = F.concat(F.lit("![a](1.png) ![b](images/3.jpg) "), F.left("text", F.lit(30)))
+    md = F.concat(F.lit("![a](1.png) ![b](images/3.jpg) "), "text")
     body = F.concat(F.lit('{"md_content":'), F.regexp_extract(quoted(md), r'(?s)^\{"v":(.*)\}$', 1), F.lit(',"images":{"1.png":"data:image/png;base64,'), image, F.lit('","2.png":"broken","3":"data:image/jpeg;base64,'), image, F.lit('"}}'))
     key = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("paper_"), n)).otherwise(F.lit("zz"))
     other = F.when(F.col("doc_id") % 3 == 1, F.lit('"first":{"md_content":"only","images":{}},')).otherwise(F.lit(""))

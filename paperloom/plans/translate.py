@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dialect import lines
 from ..functions import chunking, markdown, masking
 from ..operators.results import messages
 from . import backends
 
+#: Fixed value: calls of a backend at once.
+CALLS = 10
+
 
 def prepared(docs: DataFrame, md: str = "markdown", quirks: str = "reference", references: bool = True) -> DataFrame:
     """``docs`` with front, body (references stripped), removed_refs, context, masked text and its spans."""
@@ -31,40 +36,44 @@ def prepared(docs: DataFrame, md: str = "markdown", quirks: str = "reference", r
 
 
 def chunks(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """(key, context, chunk_idx, chunk, skip) of prepared documents."""
-    out = rows.select(key, "context", F.posexplode(chunking.greedy_chunks(F.col("masked"), limit)).alias("chunk_idx", "chunk"))
-    return out.withColumn("skip", masking.mostly_masked(F.col("chunk")))
+    """(key, context, chunk_idx, chunk, skip, about) of prepared documents; about: what is known of a document, with its first chunk alone."""
+    about = F.to_json(F.struct("front", "spans", "removed_refs"))
+    out = rows.select(key, "context", about.alias("about"), F.posexplode(chunking.greedy_chunks(F.col("masked"), limit)).alias("chunk_idx", "chunk"))
+    return out.withColumn("about", F.when(F.col("chunk_idx") == 0, F.col("about"))).withColumn("skip", masking.mostly_masked(F.col("chunk")))
 
 
 def call(rows: DataFrame, key: str, make, key_type: str) -> DataFrame:
-    """(key, chunk_idx, text, success, error): one backend for each partition's iterator."""
+    """(key, chunk_idx, skip, about, text, success, error): one backend for each partition's iterator, CALLS calls at once. Chunks to skip are their own text."""
+    names = [key, "chunk_idx", "skip", "about"]
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()
-        for batch in batches:
-            asked = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in batch["messages"]]
-            found = [backend.translate(m, t) for m, t in zip(asked, batch["chunk"], strict=True)]
-            yield pd.DataFrame({key: batch[key], "chunk_idx": batch["chunk_idx"], "text": [x.text for x in found], "success": [x.success for x in found], "error": [x.error for x in found]})
+        with ThreadPoolExecutor(CALLS) as pool:
+            for batch in batches:
+                todo = batch[~batch["skip"]]
+                asked = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in todo["messages"]]
+                found = dict(zip(todo.index, pool.map(backend.translate, asked, todo["chunk"]), strict=True))
+                out = [(found[k].text, found[k].success, found[k].error) if k in found else (t, True, None) for k, t in batch["chunk"].items()]
+                yield batch[names].assign(text=[x[0] for x in out], success=[x[1] for x in out], error=[x[2] for x in out])
 
-    return rows.select(key, "chunk_idx", "chunk", "messages").mapInPandas(step, f"{key} {key_type}, chunk_idx int, text string, success boolean, error string")
+    return rows.select(*names, "chunk", "messages").mapInPandas(step, f"{key} {key_type}, chunk_idx int, skip boolean, about string, text string, success boolean, error string")
 
 
 def translate(docs: DataFrame, key: str, target_lang: str = "Chinese", backend: str = backends.DEFAULT, md: str = "markdown", quirks: str = "reference", tasks: int | None = None, keep: Column | None = None) -> DataFrame:
     """(key, translated, success, error, removed_refs, n_chunks, n_skipped) of documents (key, md); keys are unique.
 
-    Only chunks with something to translate reach the backend: the others are put aside before
-    it, as an expression beside it would still call it. ``tasks`` bounds the calls at once. The
-    first failed chunk, by its place, fails its document.
+    Only chunks with something to translate reach the backend; the others pass by it. A document
+    is parsed and masked once: what is known of it goes with its first chunk. ``tasks`` bounds
+    the calls at once, CALLS for each. The first failed chunk, by its place, fails its document.
     """
     make, limit = backends.backend(backend)
     ready = prepared(docs.select(key, md), md, quirks)
     key_type = ready.schema[key].dataType.simpleString()
     parts = chunks(ready, key, limit)
-    asked = parts.where(~F.col("skip")).withColumn("messages", messages(F.col("chunk"), F.lit(target_lang), F.col("context")))
-    asked = asked.repartition(tasks, key, "chunk_idx") if tasks else asked.repartition(key, "chunk_idx")
-    answered = call(asked, key, make, key_type).withColumn("skip", F.lit(False))
-    aside = parts.where("skip").select(key, "chunk_idx", F.col("chunk").alias("text"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), "skip")
-    every = answered.select(*aside.columns).unionByName(aside)
+    asked = parts.repartition(tasks, key, "chunk_idx") if tasks else parts.repartition(key, "chunk_idx")
+    asked = asked.withColumn("messages", F.when(~F.col("skip"), messages(F.col("chunk"), F.lit(target_lang), F.col("context"))))
+    every = call(asked, key, make, key_type)
+    known = T.StructType([f for f in ready.schema if f.name in ("front", "spans", "removed_refs")])
     pairs = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("text").alias("t"))))
     whole = every.groupBy(key).agg(
         F.array_join(F.transform(pairs, lambda x: x["t"]), "\n\n").alias("_text"),
@@ -72,8 +81,9 @@ def translate(docs: DataFrame, key: str, target_lang: str = "Chinese", backend:
         F.min_by(F.when(~F.col("success"), F.coalesce("error", F.lit(""))), F.when(~F.col("success"), F.col("chunk_idx"))).alias("_error"),
         F.count("*").alias("n_chunks"),
         F.count_if("skip").alias("n_skipped"),
+        F.max("about").alias("about"),
     )
-    out = ready.select(key, "front", "spans", "removed_refs").join(whole, key)
+    out = whole.withColumn("about", F.from_json("about", known.simpleString())).select("*", "about.*")
     error = F.coalesce("_error", F.when(F.col("_missing"), F.lit("Translation failed: missing chunk results.")))
     body = masking.unmask(F.col("_text"), F.col("spans"), quirks)
     front = markdown.with_language(F.col("front"), F.lit(target_lang), quirks)
