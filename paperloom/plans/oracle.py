@@ -73,7 +73,12 @@ def _rewrite(second: str) -> str:
 _ENV_ALTERNATIVES = "|".join(rf"\\begin\{{{n}\}}.*?\\end\{{{n}\}}" for n in (x.replace("*", r"\*") for x in ENVIRONMENTS))
 _OPEN, _CLOSE = "chr(64976)", "chr(64977)"
 _SIGN_CHARS = f"""CASE WHEN contains({_q(SIGNS)}, c[i]) AND NOT (i > 1 AND regexp_matches(c[i - 1], '[$A-Za-z]')) AND NOT (i < len(c) AND regexp_matches(c[i + 1], '[A-Za-z]')) THEN '$' || c[i] || '$' ELSE c[i] END"""
+_DELIMITERS = _re(_re("md", r"(?s)\\\((.+?)\\\)", r"$\1$"), r"(?s)\\\[(.+?)\\\]", r"$$\1$$")
+_WRAPPED = f"""regexp_replace(regexp_replace(regexp_replace(md, {_q('(?s)(' + _ENV_ALTERNATIVES + ')')}, {_OPEN} || '$$' || chr(10) || '\\1' || chr(10) || '$$' || {_CLOSE}, 'g'),
+        '\\$\\$' || {_OPEN} || '\\$\\$' || chr(10) || '([^' || {_CLOSE} || ']*)' || chr(10) || '\\$\\$' || {_CLOSE} || '\\$\\$', '$$\\1$$', 'g'), '[' || {_OPEN} || {_CLOSE} || ']', '', 'g')"""
+_SUBSCRIPTS = _re("md", rf"(^|[^{WORD_INNER}])([A-Za-z]){WS}*_{WS}*({WORD}+)", r"\1$\2_\3$")
 _NUMBER_FIRST = _re("html", rf"({DIGIT}+){WS}*([≤≥≈≠<>]){WS}*({WORD}+)", r"$\1 \2 \3$")
+_NUMBER_LAST = _re("x", rf"({WORD}+){WS}*([≤≥≈≠]){WS}*({DIGIT}+)", r"$\1 \2 \3$")
 _RANGES = """(SELECT doc_id, pages, c.chunk_idx, c.chunk_idx * size AS start_page, least((c.chunk_idx + 1) * size, pages) - 1 AS end_page
     FROM (SELECT *, CAST(ceil(pages / greatest(least(4, pages), 1)) AS INT) AS size FROM (SELECT doc_id, CAST(ceil(n_chars / 3000) AS INT) AS pages FROM documents)), (SELECT CAST(range AS INT) AS chunk_idx FROM range(4)) c
     WHERE c.chunk_idx < least(4, pages) AND c.chunk_idx * size <= least((c.chunk_idx + 1) * size, pages) - 1)"""
@@ -130,6 +135,14 @@ def _numbered_masks(key: str, source: str, text: str) -> str:
 _LAST_MASK = len(PATTERNS)
 _SHOWN = f"CASE WHEN doc_id % 2 = 0 AND {_FIRST_LINE} <> '' THEN {_FIRST_LINE} ELSE replace({_sanitized(_FIRST_LINE)}, '_', ' ') END"
 
+_FENCED = _q(rf"(?ms)^{LINE_WS}*```[^\n]*(?:\n|\z)(?:.*?^{LINE_WS}*```[^\n]*(?:\n|\z)|.*\z)")
+#: The view with its mathematics normalised outside fences, piece by piece.
+_NORMALIZED = f"""(SELECT doc_id, string_agg({_NUMBER_LAST} || coalesce(fence, ''), '' ORDER BY i) AS md FROM (SELECT *, {_NUMBER_FIRST} AS x FROM (
+    SELECT doc_id, i, fence, array_to_string(list_transform(range(1, len(c) + 1), lambda i: {_SIGN_CHARS}), '') AS html FROM (SELECT *, string_split({_SUBSCRIPTS}, '') AS c FROM (
+    SELECT doc_id, i, fence, {_WRAPPED} AS md FROM (SELECT doc_id, i, fence, {_DELIMITERS} AS md FROM (
+    SELECT doc_id, i, p[i] AS md, m[i] AS fence FROM (SELECT doc_id, string_split_regex(md, {_FENCED}) AS p, regexp_extract_all(md, {_FENCED}) AS m FROM {_PM}), range(1, len(p) + 1) t(i))))))) GROUP BY doc_id)"""
+_MASK = "'⟦[^⟧]+⟧'"
+
 ORACLE: dict[str, str] = {
     "q01_source_kind": f"""
     SELECT url, regexp_matches(url, '(?i)^https?:') AS is_url, CASE WHEN lower(name) LIKE '%.pdf' THEN name ELSE 'downloaded_paper.pdf' END AS file_name
@@ -141,13 +154,11 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, CASE WHEN heading IS NOT NULL AND (detected IS NULL OR {_placeholder('detected')}) THEN heading
         ELSE coalesce(detected, CASE WHEN doc_id % 3 = 0 THEN 'Meta ' || doc_id END, CASE WHEN doc_id % 2 = 1 THEN 'p' || doc_id END, 'untitled_paper') END AS title
     FROM (SELECT doc_id, {_MD_TITLE} AS heading, CASE WHEN doc_id % 5 <> 0 THEN nullif({_CANDIDATE}, '') END AS detected FROM (SELECT *, {fixtures.PAPER_MD} AS md FROM documents))""",
-    "q06_math_delims": "SELECT doc_id, md5(" + _re(_re("md", r"(?s)\\\((.+?)\\\)", r"$\1$"), r"(?s)\\\[(.+?)\\\]", r"$$\1$$") + f") AS digest FROM {_PM}",
-    "q07_math_env": f"""
-    SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(md, {_q('(?s)(' + _ENV_ALTERNATIVES + ')')}, {_OPEN} || '$$' || chr(10) || '\\1' || chr(10) || '$$' || {_CLOSE}, 'g'),
-        '\\$\\$' || {_OPEN} || '\\$\\$' || chr(10) || '([^' || {_CLOSE} || ']*)' || chr(10) || '\\$\\$' || {_CLOSE} || '\\$\\$', '$$\\1$$', 'g'), '[' || {_OPEN} || {_CLOSE} || ']', '', 'g')) AS digest FROM {_PM}""",
-    "q08_inline_subscript": "SELECT doc_id, md5(" + _re("md", rf"(^|[^{WORD_INNER}])([A-Za-z]){WS}*_{WS}*({WORD}+)", r"\1$\2_\3$") + f") AS digest FROM {_PM}",
+    "q06_math_delims": f"SELECT doc_id, md5({_DELIMITERS}) AS digest FROM {_PM}",
+    "q07_math_env": f"SELECT doc_id, md5({_WRAPPED}) AS digest FROM {_PM}",
+    "q08_inline_subscript": f"SELECT doc_id, md5({_SUBSCRIPTS}) AS digest FROM {_PM}",
     "q09_inline_greek": f"SELECT doc_id, md5(array_to_string(list_transform(range(1, len(c) + 1), lambda i: {_SIGN_CHARS}), '')) AS digest FROM (SELECT doc_id, string_split(md, '') AS c FROM {_PM})",
-    "q10_inline_compare": f"SELECT page_id, md5(x) AS first_digest, md5({_re('x', rf'({WORD}+){WS}*([≤≥≈≠]){WS}*({DIGIT}+)', '$' + chr(92) + '1 ' + chr(92) + '2 ' + chr(92) + '3$')}) AS digest FROM (SELECT page_id, {_NUMBER_FIRST} AS x FROM pages)",
+    "q10_inline_compare": f"SELECT page_id, md5(x) AS first_digest, md5({_NUMBER_LAST}) AS digest FROM (SELECT page_id, {_NUMBER_FIRST} AS x FROM pages)",
     "q11_fence_segments": f"""
     WITH l AS (SELECT doc_id, i, ls[i] AS line, len(ls) AS n, regexp_matches(ls[i], '^{LINE_WS}*```') AS fence FROM (SELECT doc_id, string_split(md, chr(10)) AS ls FROM {_PM}), range(1, len(ls) + 1) t(i)),
     w AS (SELECT *, sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l)
@@ -218,4 +229,29 @@ ORACLE: dict[str, str] = {
         md5(CASE WHEN doc_id % 3 = 1 THEN 'only' ELSE '![a](./assets/image_001.png) ![b](./assets/image_003.jpg) ' || text END) AS digest,
         CAST(CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 2 END AS INT) AS n_images, CASE WHEN doc_id % 3 = 1 THEN '' ELSE 'image_001.png,image_003.jpg' END AS names,
         CASE WHEN doc_id % 3 <> 1 THEN 'image ' || doc_id END AS first_bytes, CAST(NULL AS VARCHAR) AS api_error FROM documents""",
+    "q31_translate_pseudo": f"""
+    WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, body, out FROM {_stripped(True)}),
+    m AS MATERIALIZED (SELECT doc_id, t{_LAST_MASK} AS masked, spans{_LAST_MASK} AS spans FROM ({_numbered_masks('doc_id', 's', 'out')})),
+    p AS MATERIALIZED (SELECT doc_id, i, ps[i] AS para FROM (SELECT doc_id, string_split_regex(masked, '\\n\\n+') AS ps FROM m), range(1, len(ps) + 1) t(i)),
+    f AS (SELECT doc_id, i, para, CAST(0 AS BIGINT) AS k, CAST(length(para) + 2 AS BIGINT) AS n FROM p WHERE i = 1
+        UNION ALL SELECT p.doc_id, p.i, p.para, CASE WHEN f.n + length(p.para) > 3000 THEN f.k + 1 ELSE f.k END, CASE WHEN f.n + length(p.para) > 3000 THEN length(p.para) + 2 ELSE f.n + length(p.para) + 2 END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+    c AS (SELECT doc_id, k, string_agg(para, chr(10) || chr(10) ORDER BY i) AS chunk FROM f GROUP BY doc_id, k),
+    u AS (SELECT *, length({_strip(f"regexp_replace(chunk, {_MASK}, '', 'g')")}) < 20 AS skip, string_split_regex(chunk, {_MASK}) AS l, regexp_extract_all(chunk, {_MASK}) AS b FROM c),
+    w AS (SELECT doc_id, k, skip, CASE WHEN skip THEN chunk ELSE array_to_string(list_transform(range(1, len(l) + 1), lambda i: upper(replace(l[i], 'ß', 'SS')) || coalesce(b[i], '')), '') END AS t FROM u),
+    j AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (skip) AS n_skipped, string_agg(t, chr(10) || chr(10) ORDER BY k) AS t FROM w GROUP BY doc_id),
+    r AS (SELECT j.*, list_reduce(list_prepend(t, list_reverse(spans)), lambda a, x: replace(a, split_part(x, ' ', 1), substr(x, position(' ' IN x) + 1))) AS back FROM j JOIN m USING (doc_id))
+    SELECT doc_id, true AS success, s.out <> s.body AS removed_refs, n_chunks, n_skipped,
+        md5(CASE WHEN front IS NOT NULL THEN regexp_replace({_strip('front')}, '\\n([^\\n]*)\\z', chr(10) || 'language: Chinese' || chr(10) || '\\1') || chr(10) || back ELSE back END) AS digest
+    FROM r JOIN s USING (doc_id) JOIN {_BODIES} USING (doc_id)""",
+    "q35_ingestion": f"""
+    WITH n AS (SELECT d.doc_id, '/data/' || lpad(CAST(d.doc_id AS VARCHAR), 9, '0') || '.pdf' AS source, x.md, {_MD_TITLE.replace('md,', 'x.md,')} AS heading, CASE WHEN d.doc_id % 5 <> 0 THEN nullif({_CANDIDATE.replace('doc_id', 'd.doc_id')}, '') END AS detected
+        FROM documents d JOIN {_NORMALIZED} x ON x.doc_id = d.doc_id),
+    t AS (SELECT *, CASE WHEN heading IS NOT NULL AND (detected IS NULL OR {_placeholder('detected')}) THEN heading ELSE coalesce(detected, {_stem('source')}) END AS title FROM n),
+    k AS (SELECT *, {_sanitized('title')} AS title_key FROM t),
+    g AS (SELECT *, title_key IN (SELECT title FROM {_TITLES} WHERE doc_id % 4 = 0) OR row_number() OVER (PARTITION BY title_key ORDER BY source) > 1 AS again, '20260131-' || title_key AS paper_dir FROM k)
+    SELECT source, title_key, CASE WHEN again THEN 'error' ELSE 'success' END AS status, paper_dir,
+        md5('---' || chr(10) || 'title: "' || coalesce(nullif(title, ''), replace(title_key, '_', ' ')) || '"' || chr(10) || 'date_ingested: {fixtures.RUN_DATE}' || chr(10) || 'source_pdf: reference.pdf' || chr(10) || 'conversion_engine: mineru' || chr(10) || 'tags:' || chr(10) || '  - paper' || chr(10) || '  - inbox' || chr(10) || 'aliases: []' || chr(10) || '---' || chr(10) || chr(10) || md) AS text_digest,
+        CASE WHEN again THEN CAST(to_json({{'status': 'error', 'message': 'Duplicate detected: A folder with title ''' || title_key || ''' already exists', 'suggestion': {_q(DUPLICATE_SUGGESTION)}}}) AS VARCHAR)
+            ELSE CAST(to_json({{'status': 'success', 'markdown_path': paper_dir || '/full_text.md', 'engine_used': 'mineru', 'title': title_key, 'date': '{fixtures.RUN_DATE}', 'paper_dir': paper_dir}}) AS VARCHAR) END AS record
+    FROM g""",
 }
