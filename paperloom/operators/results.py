@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,13 @@ def throughput(pages: Column, seconds: Column) -> Column:
     return F.when((pages > 0) & (seconds > 0), F.round(pages / seconds, 2))
 
 
+def summary(converted: DataFrame, engine: str, seconds: float) -> DataFrame:
+    """A row for each mode of conversion (mode, page_count, failed): documents, failed ones, pages, the run's seconds and pages a second."""
+    out = converted.groupBy("mode").agg(F.count("*").alias("documents"), F.count("failed").alias("failed"), F.sum("page_count").cast("long").alias("pages"))
+    spent = F.lit(seconds)
+    return out.select(F.lit(engine).alias("engine"), "mode", "documents", "failed", "pages", F.round(spent, 2).alias("seconds"), throughput(F.col("pages"), spent).alias("pages_per_second"))
+
+
 def shortened(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n))
 

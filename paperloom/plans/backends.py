@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 
@@ -66,20 +66,25 @@ class EchoBackend(Backend):
         return Translation(text, True)
 
 
-def _service(prefix: str, model: str, limit: int) -> Callable[[], Backend]:
-    def make() -> Backend:
-        key = os.environ.get(f"{prefix}_API_KEY")
-        if not key:
-            raise ValueError(f"{prefix}_API_KEY is not set.")
-        return ChatBackend(key, os.environ.get(f"{prefix}_BASE_URL", ""), os.environ.get(f"{prefix}_MODEL", model), limit)
+class Service:
+    """A chat service's settings by their prefix: its key, which must be there, its address and its model."""
+
+    def __init__(self, prefix: str, base_url: str, model: str, limit: int):
+        self.prefix, self.base_url, self.model, self.limit = prefix, base_url, model, limit
 
-    return make
+    def maker(self, settings: Mapping[str, str]) -> Callable[[], Backend]:
+        """Settings are read, and a missing key is found, where the plan is made; executors get what is needed alone."""
+        key = settings.get(f"{self.prefix}_API_KEY")
+        if not key:
+            raise ValueError(f"{self.prefix}_API_KEY is not set.")
+        url, model, limit = settings.get(f"{self.prefix}_BASE_URL") or self.base_url, settings.get(f"{self.prefix}_MODEL") or self.model, self.limit
+        return lambda: ChatBackend(key, url, model, limit)
 
 
-#: Name to (maker, characters in a chunk).
-BACKENDS: dict[str, tuple[Callable[[], Backend], int]] = {
-    "tensorblock": (_service("TENSORBLOCK", "default", 8000), 8000),
-    "deepseek": (_service("DEEPSEEK", "deepseek-chat", 3000), 3000),
+#: Name to (maker or service, characters in a chunk). The services' addresses, models and limits.
+BACKENDS: dict[str, tuple[Callable[[], Backend] | Service, int]] = {
+    "tensorblock": (Service("TENSORBLOCK", "https://api.forge.tensorblock.co/v1", "tensorblock/gemini-3-flash-preview", 8000), 8000),
+    "deepseek": (Service("DEEPSEEK", "https://api.deepseek.com/v1", "deepseek-chat", 3000), 3000),
     "upper": (UpperBackend, 3000),
     "echo": (EchoBackend, 3000),
 }
@@ -90,7 +95,9 @@ def register(name: str, make: Callable[[], Backend], max_chars_per_chunk: int =
     BACKENDS[name] = (make, max_chars_per_chunk)
 
 
-def backend(name: str) -> tuple[Callable[[], Backend], int]:
+def backend(name: str, settings: Mapping[str, str] | None = None) -> tuple[Callable[[], Backend], int]:
+    """A maker, to be called on executors, and the characters in a chunk; ``settings`` are the environment's by default."""
     if name not in BACKENDS:
         raise ValueError(f"Unknown backend: {name}. Available: {sorted(BACKENDS)}")
-    return BACKENDS[name]
+    make, limit = BACKENDS[name]
+    return (make.maker(os.environ if settings is None else settings) if isinstance(make, Service) else make), limit

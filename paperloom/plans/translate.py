@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,14 +59,14 @@ def call(rows: DataFrame, key: str, make, key_type: str) -> DataFrame:
     return rows.select(*names, "chunk", "messages").mapInPandas(step, f"{key} {key_type}, chunk_idx int, skip boolean, about string, text string, success boolean, error string")
 
 
-def translate(docs: DataFrame, key: str, target_lang: str = "Chinese", backend: str = backends.DEFAULT, md: str = "markdown", quirks: str = "reference", tasks: int | None = None, keep: Column | None = None) -> DataFrame:
+def translate(docs: DataFrame, key: str, target_lang: str = "Chinese", backend: str = backends.DEFAULT, md: str = "markdown", quirks: str = "reference", tasks: int | None = None, settings: Mapping[str, str] | None = None) -> DataFrame:
     """(key, translated, success, error, removed_refs, n_chunks, n_skipped) of documents (key, md); keys are unique.
 
     Only chunks with something to translate reach the backend; the others pass by it. A document
     is parsed and masked once: what is known of it goes with its first chunk. ``tasks`` bounds
     the calls at once, CALLS for each. The first failed chunk, by its place, fails its document.
     """
-    make, limit = backends.backend(backend)
+    make, limit = backends.backend(backend, settings)
     ready = prepared(docs.select(key, md), md, quirks)
     key_type = ready.schema[key].dataType.simpleString()
     parts = chunks(ready, key, limit)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 CATALOG = "dir_name string, title_key string, date_prefix string, has_notes boolean"
 
 
-def _store(path: str):
+def store_of(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
@@ -37,7 +37,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.type == fs.FileType.Directory:
                 dated = re.match(r"(\d{8})-(.*)", info.base_name, re.DOTALL)
@@ -57,7 +57,7 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> _Written:
         from pyarrow import fs
 
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         n = 0
         for row in rows:
             parts = row["path"].split("/")

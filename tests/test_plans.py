@@ -160,10 +160,122 @@ def test_command_line(spark, tmp_path):
     assert "$x_i$" in (folder / "full_text.md").read_text() and (folder / "notes.md").exists()
     assert [json.loads(x)["status"] for x in run(args, spark)] == ["error"]
     args = parser().parse_args(["translate", str(tmp_path / "in"), "--backend", "upper"])
-    assert json.loads(run(args, spark)[0])["status"] == "success"
+    record = json.loads(next(run(args, spark)))
+    assert record["status"] == "success" and record["elapsed_seconds"] > 0
     assert (tmp_path / "in" / "a_ch.md").exists()
 
 
+def test_command_line_refuses(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv("DEEPSEEK_API_KEY", raising=False)
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "a.md").write_text("x")
+
+    def said(*args):
+        return [json.loads(x)["message"] for x in run(parser().parse_args(list(args)), spark)]
+
+    assert said("ingest", str(tmp_path / "no.pdf")) == [f"File not found: {tmp_path}/no.pdf"]
+    assert said("ingest", str(tmp_path / "a.txt")) == [f"Not a PDF file: {tmp_path}/a.txt"]
+    assert "DEEPSEEK_API_KEY is not set" in said("translate", str(tmp_path / "a.md"), "--backend", "deepseek", "--env-file", str(tmp_path / "no"))[0]
+    (tmp_path / "env").write_text("DEEPSEEK_API_KEY=k\nDEEPSEEK_MODEL=m\n")
+    backend = backends.backend("deepseek", files.settings(spark, str(tmp_path / "env")))[0]()
+    assert (backend.key, backend.model, backend.base_url) == ("k", "m", "https://api.deepseek.com/v1")
+
+
+def _program(path, content, device=None, timeout=600):
+    """Stands for the program: two images, a device's name, a failure for ranges that begin at page 2."""
+    if content.startswith(b"2"):
+        return {"error": "broken"}
+    md = f"# On {device}\n![a](images/b.png) ![](a.jpg) ![](no.gif) {content.decode()}"
+    return {"markdown": md, "images": [{"name": "b.png", "bytes": b"B"}, {"name": "a.jpg", "bytes": b"A"}, {"name": "x.txt", "bytes": b"T"}]}
+
+
+def test_whole_documents_are_finished(spark):
+    rows = spark.createDataFrame([("/d/a.pdf", bytearray(b"1"), 7), ("/d/b.pdf", bytearray(b"2"), 8)], "path string, content binary, extra int")
+    engines.ENGINES["stand-in"] = lambda options: _program
+    try:
+        got = {r["path"]: r for r in engines.convert(rows, "stand-in").collect()}
+    finally:
+        del engines.ENGINES["stand-in"]
+    one = got["/d/a.pdf"]
+    assert one["markdown"] == "# On None\n![a](./assets/image_001.png) ![](./assets/image_002.jpg) ![](no.gif) 1" and one["extra"] == 7
+    assert [(x["name"], bytes(x["bytes"])) for x in one["images"][:2]] == [("image_001.png", b"B"), ("image_002.jpg", b"A")]
+    assert got["/d/b.pdf"]["error"] == "broken" and got["/d/b.pdf"]["markdown"] is None
+
+
+def test_ranges_of_pages_are_merged(spark):
+    rows = spark.createDataFrame([("/d/a.pdf", bytearray(b"x"), 5), ("/d/b.pdf", bytearray(b"y"), 1), ("/d/c.pdf", bytearray(b"2"), 1)], "path string, content binary, page_count int")
+    options = engines.Options(devices=("4", "6"), port=1)
+    got = {r["path"]: r for r in engines._in_ranges(rows, options, _program, cut=lambda content, a, b: f"{a}-{b}".encode()).collect()}
+    one = got["/d/a.pdf"]
+    assert one["markdown"] == "# On 4\n![a](./assets/image_002.png) ![](./assets/image_001.jpg) ![](no.gif) 0-2\n\n---\n\n# On 6\n![a](./assets/image_004.png) ![](./assets/image_003.jpg) ![](no.gif) 3-4"
+    assert [(x["name"], bytes(x["bytes"])) for x in one["images"]] == [("image_001.jpg", b"A"), ("image_002.png", b"B"), ("image_003.jpg", b"A"), ("image_004.png", b"B")]
+    assert (one["mode"], one["detected_title"], bytes(one["content"]), one["page_count"]) == ("cli", "On 4", b"x", 5)
+    assert got["/d/b.pdf"]["markdown"].startswith("# On 4\n![a](./assets/image_002.png)") and got["/d/c.pdf"]["error"] == "broken"
+
+
+class Reply:
+    status_code = 200
+    text = json.dumps({"results": {"a": {"md_content": "# A\n![](images/i.png)", "images": {"i.png": "data:image/png;base64,aQ=="}}}})
+
+
+def test_service_comes_first(spark, monkeypatch):
+    sent = {}
+
+    def post(url, files, data, timeout):
+        sent.update(data, url=url)
+        return Reply()
+
+    run_ = engines.served(engines.Options(port=9), post, lambda *a, **k: Reply())
+    assert run_("/d/a.pdf", b"x") == {"reply": Reply.text} and sent["parse_method"] == "auto" and sent["url"].endswith(":9/file_parse")
+    assert engines._usable({"reply": '{"results": {}}'}, "a")["error"] and engines._usable({"reply": "<html>"}, "a")["error"]
+    assert engines.served(engines.Options(), post, lambda *a, **k: 1 / 0) is None
+    rows = spark.createDataFrame([("/d/a.pdf", bytearray(b"1"))], "path string, content binary")
+    text = Reply.text
+    engines.ENGINES["mineru"], kept = lambda options: lambda path, content: {"reply": text}, engines.ENGINES["mineru"]
+    try:
+        got = engines.convert(rows, "mineru").first()
+    finally:
+        engines.ENGINES["mineru"] = kept
+    assert (got["markdown"], got["mode"], got["detected_title"]) == ("# A\n![](./assets/image_001.png)", "api", "A")
+    assert [(x["name"], bytes(x["bytes"])) for x in got["images"]] == [("image_001.png", b"i")]
+
+
+def test_docling_is_made_once():
+    class Image:
+        def save(self, stream, format):
+            stream.write(b"png")
+
+    class Document:
+        name = "T"
+        pictures = [type("P", (), {"image": type("I", (), {"pil_image": Image()})})]
+
+        def export_to_markdown(self, image_mode):
+            return "<!-- image -->"
+
+    class Converter:
+        def convert(self, path):
+            return type("R", (), {"document": Document()})
+
+    got = engines.docling(engines.Options(), Converter())("/a.pdf", b"")
+    assert got == {"markdown": "<!-- image -->", "title": "T", "images": [{"name": "000000.png", "bytes": b"png"}]}
+
+
+def test_devices_and_addresses(spark, tmp_path, capfd):
+    assert engines.devices(spark, "3, 1,") == ("3", "1") and engines.devices(spark, None, lambda: "") == ()
+    assert engines.devices(spark, None, lambda: "0, 500, 3\n1, 100, 2\n2, 9000, 1") == ("1", "0")
+    engines.ENGINES["docling"], kept = lambda options: lambda path, content: {"markdown": "# Got it", "images": [{"name": "q.png", "bytes": b"i"}]}, engines.ENGINES["docling"]
+    try:
+        args = parser().parse_args(["ingest", "https://e.org/y", "--engine", "docling", "-o", str(tmp_path)])
+        assert [json.loads(x)["status"] for x in run(args, spark, fake_get)] == ["success"]
+        args = parser().parse_args(["ingest", "https://e.org/z", "--engine", "docling", "-o", str(tmp_path)])
+        assert [json.loads(x)["message"] for x in run(args, spark, lambda url: (None, None, "Failed to download PDF: x"))] == ["Failed to download PDF: x"]
+    finally:
+        engines.ENGINES["docling"] = kept
+    folder = tmp_path / f"{datetime.date.today():%Y%m%d}-Got_it"
+    assert (folder / "reference.pdf").read_bytes() == b"c" and (folder / "assets" / "image_001.png").read_bytes() == b"i"
+    assert "'engine': 'docling'" in capfd.readouterr().err
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in "ab":
