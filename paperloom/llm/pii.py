@@ -45,21 +45,53 @@ def _matches(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once, as a lambda's body would compute it for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(items: Column) -> Column:
+    """An array in parts of about the square root of its length."""
+    n = F.size(items)
+    size = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), lambda i: F.slice(items, i * size + 1, size))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def _before(values: Column, combine) -> Column:
+    """For each of an array of whole numbers (0 at least) the combination of those before it; then that of all.
+
+    A fold copies what it has collected, so it runs over parts of an array and then over their
+    totals: m values take about m * sqrt(m) steps.
+    """
+
+    def folded(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def joined(scans: Column) -> Column:
+        return _bound(folded(F.transform(scans, lambda s: F.element_at(s, -1))), lambda firsts: F.concat(
+            F.flatten(F.zip_with(scans, F.slice(firsts, F.lit(1), F.size(scans)), lambda s, first: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: combine(x, first)))),
+            F.array(F.element_at(firsts, -1)),
+        ))
+
+    return _bound(values, lambda v: _bound(_parts(v), lambda parts: _bound(F.transform(parts, folded), joined)))
+
+
 def _placed(text: Column, pattern: str, matches: Column) -> Column:
     """Matches with their code points' positions and what stands around them, from the stretches between them."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), matches.alias("match"))
-    pairs = F.zip_with(pairs, F.slice(F.split(text, pattern, -1), 2, F.greatest(F.size(matches), F.lit(1))), lambda p, after: F.struct(p["piece"].alias("piece"), p["match"].alias("match"), F.left(after, F.lit(_CONTEXT)).alias("after")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        stop = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("text"), F.right(x["piece"], F.lit(_CONTEXT)).alias("before"), x["after"].alias("after"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(pieces: Column, found: Column) -> Column:
+        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+        pairs = F.zip_with(pairs, F.slice(pieces, F.lit(2), F.size(found)), lambda p, after: F.struct(p["piece"].alias("piece"), p["match"].alias("match"), F.left(after, F.lit(_CONTEXT)).alias("after")))
+        at = _before(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)), lambda x, y: x + y)
+
+        def span(x: Column, before: Column) -> Column:
+            start = before + F.length(x["piece"])
+            return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("stop"), x["match"].alias("text"), F.right(x["piece"], F.lit(_CONTEXT)).alias("before"), x["after"].alias("after"))
+
+        return F.zip_with(pairs, F.slice(at, F.lit(1), F.size(found)), span)
 
-    empty = F.array().cast(_SPAN)
-    whole = F.slice(pairs, F.lit(1), F.size(matches))
-    folded = F.aggregate(whole, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, folded).otherwise(empty)
+    some = _bound(F.struct(F.split(text, pattern, -1).alias("pieces"), matches.alias("found")), lambda x: spans(x["pieces"], x["found"]))
+    return F.when(F.size(matches) > 0, some).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
 def _digits(s: Column) -> Column:
@@ -250,8 +282,14 @@ def _written(tree, features: list[Column]) -> Column:
 # --- spans -----------------------------------------------------------------------------------
 
 
-def _apart(x: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < x["stop"]) & (x["start"] < o["stop"]))
+def _grouped(spans: Column) -> Column:
+    """Spans in order, in parts with what each part covers, so that few of them need to be gone through."""
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))
+    return _bound(ordered, lambda xs: F.transform(_parts(xs), lambda p: F.struct(F.get(p, 0)["start"].alias("lo"), F.array_max(F.transform(p, lambda s: s["stop"])).alias("hi"), p.alias("spans"))))
+
+
+def _apart(x: Column, groups: Column) -> Column:
+    return ~F.exists(groups, lambda g: (g["lo"] < x["stop"]) & (x["start"] < g["hi"]) & F.exists(g["spans"], lambda o: (o["start"] < x["stop"]) & (x["start"] < o["stop"])))
 
 
 def found(docs: DataFrame, model: tuple[list, dict[str, float]] | None = None) -> DataFrame:
@@ -259,13 +297,18 @@ def found(docs: DataFrame, model: tuple[list, dict[str, float]] | None = None) -
 
     An added span overlaps no base span of any kind. Null and empty texts have no spans, and
     repeated rows have equal ones. Positions are code points, ends exclusive. A text with m
-    matches of a rule takes m * m steps of copying references, in one row's memory.
+    matches of a rule takes about m * sqrt(m) steps to place them and to compare them with others.
     """
     trees, limits = model or fit(docs.sparkSession)
     out = candidates(docs)
-    # base spans that overlap a candidate are few: only texts with candidates come this far
     every = F.concat(*[F.col(f"_base_{k}") for k in KINDS])
-    fresh = [F.filter(F.col(f"_wide_{k}"), lambda x: _apart(x, every)).alias(f"_fresh_{k}") for k in KINDS]
+
+    def free(kind: str) -> Column:
+        wide = F.col(f"_wide_{kind}")
+        # spans are grouped for texts with candidates alone
+        return F.when(F.size(wide) > 0, _bound(_grouped(every), lambda groups: F.filter(wide, lambda x: _apart(x, groups)))).otherwise(wide)
+
+    fresh = [free(k).alias(f"_fresh_{k}") for k in KINDS]
     out = out.select(*docs.columns, *[f"_base_{k}" for k in KINDS], *fresh)
 
     def chosen(kind: str) -> Column:
@@ -308,11 +351,21 @@ def redacted(docs: DataFrame, model=None) -> DataFrame:
 
     spans = F.sort_array(F.concat(*[F.transform(F.concat(f"_base_{k}", f"_more_{k}"), marked(k)) for k in KINDS]))
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        piece = F.concat(F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), x["mark"])
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(apart, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def cut(x: Column) -> Column:
+        """Parts of the spans, each with the stretch of text that it changes, so that the text isn't gone over for every span."""
+        ends = F.zip_with(x["spans"], F.slice(x["ends"], F.lit(1), F.size(x["spans"])), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["mark"].alias("mark")))
+        kept = F.filter(ends, lambda s: s["start"] >= s["at"])
+
+        def stretch(part: Column) -> Column:
+            first, last = F.get(part, 0)["at"], F.element_at(part, -1)["start"]
+            return F.struct(part.alias("part"), first.alias("first"), F.substring("text", first + 1, last - first).alias("text"))
+
+        def marked_stretch(y: Column) -> Column:
+            return F.array_join(F.transform(y["part"], lambda s: F.concat(F.substring(y["text"], s["at"] - y["first"] + 1, s["start"] - s["at"]), s["mark"])), "")
+
+        done = F.transform(_bound(kept, lambda k: F.transform(_parts(k), stretch)), marked_stretch)
+        return F.concat(F.array_join(done, ""), F.substring(F.col("text"), F.element_at(x["ends"], -1) + 1, F.length("text")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    ends = lambda xs: F.struct(xs.alias("spans"), _before(F.transform(xs, lambda s: s["stop"]), F.greatest).alias("ends"))
+    whole = _bound(spans, lambda xs: _bound(ends(xs), cut))
     return out.select(*[F.when(F.size(spans) > 0, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -320,6 +320,19 @@ def valid(kind, s):
 PRIVATE = ["a@b.c_d@e.f x@y z@q.r.s", "1.2.3.4.5.6.7.8 300.1.1.1 000255.1.1.1 1.2.3", "+1 (826) 555-4081 190.137.223.204", "4111 1111 1111 1111 4111111111111111", "😀 a@b.co 😀 +12 345 678 901", "x" * 5000 + "@", "1" * 3000, "._%@-.-.- a@-", "reach ana.lee (at) mail (dot) com now", 'token = "4b8d3f11112222333344445555"', "order 4929348385146307 shipped"]
 
 
+def test_personal_data_of_long_texts(spark):
+    texts = ["".join(f"é a{k}@mail.org, 10.0.{k % 256}.7 😀 " for k in range(n)) for n in (0, 1, 2, 3, 5, 450)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(rows).collect()}
+    red = {r["doc_id"]: r["text"] for r in pii.redacted(rows).collect()}
+    rules = (("email", "[a-z0-9]+@mail[.]org"), ("ip", "10[.]0[.][0-9]+[.]7"))
+    for k, text in enumerate(texts):
+        spans = [f"{kind}:{m.start()}:{m.end()}" for kind, rule in rules for m in re.finditer(rule, text or "")]
+        assert got[k]["spans"] == ",".join(spans) and got[k]["n_added"] == 0
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert red[k] == (text and re.sub(rules[1][1], "[IP]", re.sub(rules[0][1], "[EMAIL]", text)))
+
+
 def test_personal_data(spark):
     rng = random.Random(4)
     noise = ["".join(rng.choice("0123456789.@+-() ab") for _ in range(120)) for _ in range(150)]
