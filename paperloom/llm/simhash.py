@@ -32,6 +32,8 @@ SEED = 42
 _AT_ONCE = 1 << 15
 #: Fingerprints under one key that a task compares at once; a key with more is dealt out by pairs of blocks.
 BLOCK = 1000
+#: Fingerprints whose variants one task makes on average: some 70 rows each.
+EXPLODED = 1 << 14
 #: Fingerprints of a text's words, how many of them are indexed at once, and the bits in which those of similar texts may differ in all: a sixth.
 TABLES, AT_ONCE = 6, 3
 APART = 64 * TABLES // 6
@@ -129,7 +131,8 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
     group of its own, so that tasks stay small and no pair is left out.
     """
     spark = fps.sparkSession
-    keyed = variants(fps, bits)
+    # a small table has few files, but its variants are many: they are made, and counted, in tasks of even size
+    keyed = variants(fps.repartition(fps.count() // EXPLODED + 1, "t", "fp"), bits)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     hot = stored(hot)
     cold = keyed.join(hot, "key", "left_anti").select("key", "side", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("own"))
