@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import bounded_batches, drop_stored, in_arrow, join_spread, stored
+from .common import bounded_batches, drop_stored, give_back, in_arrow, join_spread, stored
 from .graph import components
 
 SEED = 42
@@ -156,6 +156,8 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
                 yield from done([x[:cut] for x in now])
         if rest is not None:
             yield from done(rest)
+        batch = now = rest = None
+        give_back()
 
     def done(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, side, fp, i, j, own = now
