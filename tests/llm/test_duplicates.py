@@ -233,6 +233,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.similar(cases.empty(spark)).count() == simhash.keep_one(cases.empty(spark)).count() == 0
 
 
+def test_registered_passages_are_of_400_bytes(spark, tmp_path):
+    """The registered query takes out 400 bytes that occur again, at any number of words, and leaves 51 to 60 words of 399 bytes or fewer."""
+    from paperloom.llm import entries
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm é") for _ in range(rng.randint(1, 6)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    short = [" ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 6))) for _ in range(n)) for n in range(51, 61)]
+    exact = ["".join(rng.choice("abcdefg h") for _ in range(n)) for n in (399, 400, 401, 800)]
+    assert all(len(p) < 400 for p in short)
+    rows = []
+    for k, p in enumerate(short + exact):
+        rows += [(2 * k + side, f"{words(90)}{'AB'[side]}{p}{'CD'[side]}{words(90)}") for side in (0, 1)]
+    once = exact[0] + "é" + exact[2]
+    rows += [(100, None), (101, ""), (102, f"G{once}H{words(20)}I{once}J"), (103, "x" * 400), (104, "x" * 401), (105, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in entries.queries()["op8_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: x for r, x in zip(rows, removed(rows, 400), strict=True)}
+    assert [got[k][1] for k in range(2, 28)] == [0] * 20 + [400, 400, 401, 401, 800, 800]  # 0 and 105 are copies
+
+
 def test_passages_of_over_50_short_words(spark):
     """The pipeline's stage cuts passages of 51 to 60 words under 400 bytes, at any white space, and none of 50."""
     import corpus_pipeline as cp
